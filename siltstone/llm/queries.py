@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat, media, pii
+from siltstone.llm import chat, langid, media, pii, toxicity
 from siltstone.tables import table
 
+#: Where the public tokenizers lie; a parameter of the operators that read one.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_query(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -23,7 +34,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_pii, op7_chat_rotation, op9_media_chunks]
+    found = [op1_language_id, op3_pii, op4_toxicity, op7_chat_rotation, op9_media_chunks]
     return {f.__name__: f for f in found}
 
 
