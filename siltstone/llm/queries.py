@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chat, langid, media, pii, toxicity
+from siltstone.llm import bpe, chat, langid, media, pii, toxicity
 from siltstone.tables import table
 
 #: Where the public tokenizers lie; a parameter of the operators that read one.
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -34,7 +38,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_pii, op4_toxicity, op7_chat_rotation, op9_media_chunks]
+    found = [op1_language_id, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks]
     return {f.__name__: f for f in found}
 
 
