@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, langid, media, pii, toxicity
+from siltstone.llm import bpe, chat, langid, media, ngram_join, pii, toxicity
 from siltstone.tables import table
 
 #: Where the public tokenizers lie; a parameter of the operators that read one.
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks]
+    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks]
     return {f.__name__: f for f in found}
 
 
