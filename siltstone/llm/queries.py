@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, langid, media, ngram_join, pii, toxicity
+from siltstone.llm import bpe, chat, decontam, langid, media, ngram_join, pii, toxicity
 from siltstone.tables import table
 
 #: Where the public tokenizers lie; a parameter of the operators that read one.
@@ -41,8 +41,12 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks]
+    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
