@@ -43,6 +43,8 @@ MOST_HEAVY = 1 << 20
 #: A token that fewer texts have is not frequent at any size of the input.
 LEAST_HEAVY = 64
 NO_ID = -(2**63)
+#: Lists of ids or pairs up to this size are sent to the scan of texts; longer ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Tokens that a task counts at once when it looks for frequent ones.
 COUNT_TOKENS = 4_000_000
 
@@ -88,45 +90,46 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-PROFILE = "id long, size int, d1 long, d2 long, prefix binary"
+PROFILE = "id long, size int, d1 long, d2 long"
 
 
-def _profiles(heavy):
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and 128-bit digest of each text's set."""
+    for batch in batches:
+        sizes, digests = [], []
+        for tokens in shingle_sets(batch.column("text")):
+            sizes.append(len(tokens))
+            digests.append(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64))
+        d = np.array(digests, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["id", "size", "d1", "d2"])
+
+
+ENTRY = "token long, cls long, size int, place int"
+
+
+def _entries(heavy):
+    """A row for each token of each text's longest prefix: token, class, size and place."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value
         for batch in batches:
-            sizes, d1, d2, prefixes = [], [], [], []
+            ids, heads, sizes = batch.column("id").to_numpy(), [], []
             for tokens in shingle_sets(batch.column("text")):
                 size = len(tokens)
-                digest = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
                 length = min(size, size - required(size) + MOST_MATCHES)
                 if len(frequent) and size:
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
                     common = frequent[at] == tokens
-                    head = np.concatenate([tokens[~common], tokens[common]])[:length]
-                else:
-                    head = tokens[:length]
+                    tokens = np.concatenate([tokens[~common], tokens[common]])
+                heads.append(tokens[:length])
                 sizes.append(size)
-                d1.append(int(digest[0]))
-                d2.append(int(digest[1]))
-                prefixes.append(head.tobytes())
-            arrays = [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "d1", "d2", "prefix"])
-
-    return profiles
-
-
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each token of each prefix: token, class, size and place."""
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.iloc[at : at + 500]
-            heads = [np.frombuffer(p, np.int64) for p in part["prefix"]]
+            if not heads:
+                continue
             counts = [len(h) for h in heads]
-            yield pd.DataFrame({
-                "token": np.concatenate(heads), "cls": np.repeat(part["cls"].to_numpy(), counts), "size": np.repeat(part["size"].to_numpy(np.int32), counts),
-                "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
-            })
+            columns = [np.concatenate(heads).view(np.int64), np.repeat(ids, counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "size", "place"])
+
+    return entries
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,14 +140,27 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"cls": part["cls"].to_numpy(), "tokens": tokens})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough."""
-    one = sets.select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
-    two = sets.select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
-    both = pairs.join(one, "x").join(two, "y")
+def _short(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """`df`, to be broadcast if its rows are counted and few; it must be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def _whole_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and tokens of the documents whose ids are in the one column of `wanted`."""
+    ids = written(wanted.distinct(), "wanted")
+    texts = base.where("text IS NOT NULL").join(_short(ids), base["id"] == ids[ids.columns[0]], "left_semi")
+    return texts.select(F.col("id").alias("cls"), "text").mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0")
+
+
+def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose whole sets are similar enough; only the sets of one side each are moved."""
+    pairs = written(pairs, "pairs")
+    one = _whole_sets(base, pairs.select("x")).select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
+    two = _whole_sets(base, pairs.select("y")).select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
+    both = one.join(_short(pairs), "x").join(two, "y")
     shared = F.size(F.array_intersect("tx", "ty")).cast("long")
     union = F.size("tx") + F.size("ty") - shared
-    return both.where(100 * shared >= 80 * union).select("x", "y")
+    return written(both.where(100 * shared >= 80 * union).select("x", "y"), "similar")
 
 
 def _alike(a: str, b: str) -> str:
@@ -157,34 +173,32 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     heavy = spark.sparkContext.broadcast(frequent_tokens(base))
-    profiles = written(base.mapInArrow(_profiles(heavy), PROFILE), "profiles")
-    classes = profiles.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("cls"), F.min("size").alias("size"), F.min("prefix").alias("prefix"))
-    members = profiles.where("size > 0").select("id", "size", "d1", "d2").join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select("id", "size", "cls")
-
-    # Prefix entries of tokens that more than one class has, with the number of those classes.
-    entries = classes.mapInPandas(_entries, "token long, cls long, size int, place int")
-    entries = entries.repartition("token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("centre")).where("df > 1")
-    entries = written(entries.join(shared, "token"), "entries")
+    profiles = written(base.mapInArrow(_profiles, PROFILE), "profiles")
+    full = profiles.where("size > 0")
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("cls"), F.count("*").alias("rows"))
+    members = written(full.join(classes, ["d1", "d2"]), "members").select("id", "size", "cls")
+
+    # Prefix entries of the smallest document of each class; those of tokens that others have are kept.
+    copies = written(members.where("id <> cls").select("id"), "copies")
+    own = base.where("text IS NOT NULL").join(_short(copies), "id", "left_anti")
+    entries = own.mapInArrow(_entries(heavy), ENTRY).repartition("token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("cls", "size")).alias("c")).where("df > 1")
+    entries = written(entries.join(shared, "token").select("*", F.col("c.cls").alias("centre"), F.col("c.size").alias("centre_size")).drop("c"), "entries")
 
     # The number of matches that each class asks for: the cheapest by the estimate below.
     first = "size - (4 * size + 4) div 5"
     costs = [F.sum(F.expr(f"CASE WHEN place < {first} + {m} THEN df - 1 ELSE 0 END")) for m in range(1, MOST_MATCHES + 1)]
     # Fetching costs a unit for each entry met; at most cost / m candidates share m tokens.
     estimates = [F.when(F.expr(f"(4 * first(size) + 4) div 5 >= {m}"), c * (1 + VERIFY_COST / m)).otherwise(F.lit(float("inf"))) for m, c in enumerate(costs, 1)]
+    entries = entries.repartition("cls")
     choice = entries.groupBy("cls").agg(F.array(*estimates).alias("estimates")).select("cls", F.expr("array_position(estimates, array_min(estimates))").cast("int").alias("m"))
     entries = written(entries.join(choice, "cls").where(f"place < {first} + m"), "prefixes")
 
-    # Whole sets of the classes that share a prefix token with another.
-    involved = entries.select("cls").distinct()
-    whole = classes.select("cls").join(involved, "cls", "left_semi").withColumnRenamed("cls", "id").distinct()
-    texts = base.where("text IS NOT NULL").join(whole, "id", "left_semi").select(F.col("id").alias("cls"), "text")
-    sets = written(texts.mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0"), "sets")
-
-    # First round: each class against the smallest class of its first shared token, and of all of them.
-    near = entries.where("cls <> centre").groupBy("cls").agg(F.min("centre").alias("low"), F.min_by("centre", "place").alias("next"))
-    near = near.select(F.col("cls").alias("x"), F.explode(F.array_distinct(F.array("low", "next"))).alias("y"))
-    links = written(_verified(near, sets), "star-links")
+    # First round: each class against the one centre (the smallest class of a token) that it meets most,
+    # if they share a third of its prefix. What this round leaves out, the second one finds.
+    near = entries.where("cls <> centre").where(_alike("size", "centre_size")).groupBy("cls", "centre").agg(F.count("*").alias("n"), F.first(F.expr(f"{first} + m")).alias("length"))
+    near = near.where("3 * n >= length").groupBy(F.col("cls").alias("x")).agg(F.max_by("centre", F.struct(F.col("n"), -F.col("centre"))).alias("y"))
+    links = _verified(near, base)
     found = connected(links)
 
     # Second round: entries of a component's classes are one; pairs are made of components only.
@@ -199,7 +213,7 @@ def components(docs: DataFrame) -> DataFrame:
     right = entries.select(F.col("component").alias("cb"), "token", F.col("cls").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
     pairs = met.join(left, "ca").join(right, ["cb", "token"]).where(_alike("sx", "sy"))
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("m")).where("n >= m").select("x", "y")
-    links = links.unionByName(_verified(pairs, sets))
+    links = links.unionByName(_verified(pairs, base))
     found = connected(links)
 
     out = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "size", "cls", F.coalesce("component", "cls").alias("component"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, decontam, langid, media, ngram_join, pii, toxicity
+from siltstone.llm import bpe, chat, decontam, langid, line_dedup, media, ngram_join, pii, toxicity
 from siltstone.tables import table
 
 #: Where the public tokenizers lie; a parameter of the operators that read one.
@@ -33,6 +33,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_query(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -46,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op7_chat_rotation, op9_media_chunks, op10_decontamination]
+    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op6_line_dedup, op7_chat_rotation, op9_media_chunks, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
