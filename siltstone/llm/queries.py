@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, decontam, langid, line_dedup, media, ngram_join, pii, toxicity
+from siltstone.llm import bpe, chat, decontam, langid, line_dedup, media, ngram_join, pii, quality, toxicity
 from siltstone.tables import table
 
 #: Where the public tokenizers lie; a parameter of the operators that read one.
@@ -41,6 +41,10 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op6_line_dedup, op7_chat_rotation, op9_media_chunks, op10_decontamination]
+    found = [op1_language_id, op2_ngram_join, op3_pii, op4_toxicity, op5_bpe, op6_line_dedup, op7_chat_rotation, op8_quality, op9_media_chunks, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
