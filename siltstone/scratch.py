@@ -25,9 +25,21 @@ def root(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path below this application's part of the shared folder."""
+    return f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written there; DataFrames that read it can't be used afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    path = f"{root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,19 +7,18 @@ same functions serve a standing query with another trigger.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import merge
-from siltstone.scratch import root, written
+from siltstone.scratch import fresh, written
 
 
 def message_stream(spark: SparkSession, messages: DataFrame, files: int = 4, per_batch: int = 2) -> DataFrame:
     """A stream that replays `messages` from files of the shared folder."""
-    path = f"{root(spark)}/siltstone/queue-{uuid.uuid4().hex}"
+    path = fresh(spark, "queue")
     messages.repartition(files).write.parquet(path)
     return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
@@ -27,7 +26,7 @@ def message_stream(spark: SparkSession, messages: DataFrame, files: int = 4, per
 def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> None:
     """Give every micro-batch to `apply`, in order, until the input is read."""
     spark = stream.sparkSession
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root(spark)}/siltstone/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", fresh(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -48,7 +47,7 @@ def claims(stream: DataFrame, snapshot: DataFrame, keys: list[str], order: list[
 def partial_failures(stream: DataFrame, fails) -> DataFrame:
     """Ids of failed messages by batch, with the time at which they are seen again (`delay` s later)."""
     spark = stream.sparkSession
-    path = f"{root(spark)}/siltstone/failed-{uuid.uuid4().hex}"
+    path = fresh(spark, "failed")
 
     def apply(batch: DataFrame, number: int) -> None:
         failed = batch.where(fails).withColumn("visible_at", F.col("sent_at") + F.col("delay"))
@@ -61,7 +60,7 @@ def partial_failures(stream: DataFrame, fails) -> DataFrame:
 def deduplicated(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Transport duplicates within a watermark are dropped; what is left is appended to a table."""
     spark = stream.sparkSession
-    path = f"{root(spark)}/siltstone/distinct-{uuid.uuid4().hex}"
+    path = fresh(spark, "distinct")
     out = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
     query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
