@@ -17,15 +17,19 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+#: Most partitions of a shuffle; beyond it a partition holds several blocks, one at a time.
+MOST_PARTITIONS = 20_000
 #: Distinct words that a task keeps encoded at once.
 TABLE_WORDS = 1_000_000
 #: The pre-tokenizer's pattern, with its white space spelled out (fixed values of the vocabulary's format).
@@ -89,19 +93,43 @@ def _unpack(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(bytes(packed))).read_all()
 
 
-def _words_of(splitter: Splitter):
+def _words_of(splitter: Splitter, parts: int):
+    """The distinct words of a block, numbered in sorted order and packed by the part that encodes them."""
+
     def words(part: pd.DataFrame) -> pd.DataFrame:
         found: set[str] = set()
         for packed in part["packed"]:
             for text in _unpack(packed)["text"].to_pylist():
                 found.update(splitter(text))
-        ordered = sorted(found)
-        return pd.DataFrame({"block": part["block"].iloc[0], "number": range(len(ordered)), "word": ordered})
+        dealt: dict[int, tuple[list[int], list[str]]] = {}
+        for number, word in enumerate(sorted(found)):
+            numbers, own = dealt.setdefault(zlib.crc32(word.encode()) % parts, ([], []))
+            numbers.append(number)
+            own.append(word)
+        rows = [(k, part["block"].iloc[0], _squeeze(numbers), _squeeze(own)) for k, (numbers, own) in dealt.items()]
+        return pd.DataFrame(rows, columns=["part", "block", "numbers", "words"])
 
     return words
 
 
-def _encode_words(tokenizer_json: str):
+def _squeeze(values: list) -> bytes:
+    """A list of words, or of rising numbers as their differences, compressed."""
+    if values and isinstance(values[0], str):
+        table = pa.table({"w": pa.array(values, pa.large_string())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return zstandard.compress(sink.getvalue(), 3)
+    return zstandard.compress(np.diff(np.array(values, np.int32), prepend=np.int32(0)).tobytes(), 3)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(bytes(packed)), np.int32), dtype=np.int64)
+
+
+def _encode_words(tokenizer_json):
+    """Each distinct word of a part is encoded once; ids and their counts go back to every block with it."""
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -109,36 +137,57 @@ def _encode_words(tokenizer_json: str):
         tokenizer = Tokenizer.from_str(tokenizer_json.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        table: dict[str, list[int]] = {}
+        table: dict[str, bytes] = {}
         for batch in batches:
-            new = [w for w in batch["word"].unique() if w not in table]
-            if len(table) + len(new) > TABLE_WORDS:
-                table = {}
-                new = list(batch["word"].unique())
-            for word, encoding in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                table[word] = encoding.ids
-            yield pd.DataFrame({"block": batch["block"], "number": batch["number"], "ids": [table[w] for w in batch["word"]]})
+            for block, numbers, packed in zip(batch["block"], batch["numbers"], batch["words"]):
+                words = pa.ipc.open_stream(zstandard.decompress(bytes(packed))).read_all()["w"].to_pylist()
+                new = [w for w in words if w not in table]
+                if len(table) + len(new) > TABLE_WORDS:
+                    table, new = {}, words
+                for at in range(0, len(new), 5000):
+                    some = new[at : at + 5000]
+                    for word, encoding in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                        table[word] = np.array(encoding.ids, np.int32).tobytes()
+                ids = [table[w] for w in words]
+                counts = np.array([len(i) // 4 for i in ids], np.int32)
+                yield pd.DataFrame({"block": [block], "numbers": [numbers], "counts": [zstandard.compress(counts.tobytes(), 3)], "ids": [zstandard.compress(b"".join(ids), 3)]})
 
     return encode
 
 
 def _place(splitter: Splitter):
+    """Split a block's texts again and put the ids of its words at their positions."""
+
     def place(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        ids_of: list = [None] * len(words)
-        for number, ids in zip(words["number"], words["ids"]):
-            ids_of[number] = [int(i) for i in ids]
-        tables = [_unpack(p) for p in texts["packed"]]
-        split = [[splitter(t) for t in table["text"].to_pylist()] for table in tables]
-        ordered = sorted({w for rows in split for found in rows for w in found})
-        table_of = dict(zip(ordered, ids_of, strict=True))
-        docs, out = [], []
-        for table, rows in zip(tables, split):
+        docs, places = [], []
+        at_of: dict[str, int] = {}
+        for packed in texts["packed"]:
+            table = _unpack(packed)
             docs += table["doc_id"].to_pylist()
-            for found in rows:
-                ids: list[int] = []
-                for word in found:
-                    ids += table_of[word]
-                out.append(ids)
+            for text in table["text"].to_pylist():
+                found = splitter(text)
+                places.append(np.fromiter((at_of.setdefault(w, len(at_of)) for w in found), np.int32, len(found)))
+        # Numbers count the sorted words; `at_of` counts them as they came.
+        number = np.empty(len(at_of), np.int64)
+        number[[at_of[w] for w in sorted(at_of)]] = np.arange(len(at_of))
+        numbers = [_numbers(p) for p in words["numbers"]]
+        counts = [np.frombuffer(zstandard.decompress(bytes(p)), np.int32) for p in words["counts"]]
+        count_of = np.zeros(len(at_of), np.int64)
+        start_of = np.zeros(len(at_of), np.int64)
+        flat = np.concatenate([np.frombuffer(zstandard.decompress(bytes(p)), np.int32) for p in words["ids"]] or [np.zeros(0, np.int32)])
+        if sum(map(len, numbers)) != len(at_of):
+            raise ValueError("a block has other words than it was encoded with")
+        if len(at_of):
+            all_numbers, all_counts = np.concatenate(numbers), np.concatenate(counts)
+            count_of[all_numbers] = all_counts
+            start_of[all_numbers] = np.cumsum(all_counts) - all_counts
+        out = []
+        for place in places:
+            own = number[place]
+            n = count_of[own]
+            ends = np.cumsum(n)
+            index = np.repeat(start_of[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            out.append(flat[index])
         return pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "ids": out})
 
     return place
@@ -155,9 +204,10 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    packed = base.mapInPandas(_pack, "block int, packed binary").repartition(blocks, "block")
-    words = packed.groupBy("block").applyInPandas(_words_of(splitter), "block int, number int, word string")
-    encoded = words.repartition(max(blocks, 1), "word").mapInPandas(_encode_words(tokenizer_json), "block int, number int, ids array<int>")
+    partitions = min(blocks, MOST_PARTITIONS)
+    packed = base.mapInPandas(_pack, "block int, packed binary").repartition(partitions, "block")
+    words = packed.groupBy("block").applyInPandas(_words_of(splitter, partitions), "part int, block int, numbers binary, words binary")
+    encoded = words.repartition(partitions, "part").mapInPandas(_encode_words(tokenizer_json), "block int, numbers binary, counts binary, ids binary")
     return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(_place(splitter), "doc_id long, ids array<int>")
 
 
