@@ -11,8 +11,10 @@ many others, it is lengthened and m shared tokens are asked for, if the estimate
 and verifying candidates is lower so. A pair needs the smaller m of its two classes.
 
 Large groups of near copies are never expanded into pairs: a first round verifies each class
-against one or two centres only, and the second joins the components found so far, so that pairs
-within one are neither made nor verified. Pairs of different components are verified on whole sets.
+against one centre only, and the second joins the stars found so far, so that pairs within one
+component are neither made nor verified. Stars of different components are compared by their centres
+and opened only where the triangle inequality leaves room for a link; all links are verified on
+whole sets.
 
 Defined cases: null, empty and blank texts have no set and are their own component; rows of one id
 are compared each with its own text and report the component of that text; null ids take part as
@@ -152,15 +154,18 @@ def _whole_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select(F.col("id").alias("cls"), "text").mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0")
 
 
-def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough; only the sets of one side each are moved."""
+def _compared(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (x, y) with the sizes of intersection and union of their whole sets; only the sets of
+    one side each are moved."""
     pairs = written(pairs, "pairs")
     one = _whole_sets(base, pairs.select("x")).select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
     two = _whole_sets(base, pairs.select("y")).select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
-    both = one.join(_short(pairs), "x").join(two, "y")
-    shared = F.size(F.array_intersect("tx", "ty")).cast("long")
-    union = F.size("tx") + F.size("ty") - shared
-    return written(both.where(100 * shared >= 80 * union).select("x", "y"), "similar")
+    both = one.join(_short(pairs), "x").join(two, "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")).cast("long"))
+    return written(both.select(*pairs.columns, "shared", (F.size("tx") + F.size("ty") - F.col("shared")).alias("union")), "compared")
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("100 * shared >= 80 * union").select("x", "y")
 
 
 def _alike(a: str, b: str) -> str:
@@ -198,22 +203,28 @@ def components(docs: DataFrame) -> DataFrame:
     # if they share a third of its prefix. What this round leaves out, the second one finds.
     near = entries.where("cls <> centre").where(_alike("size", "centre_size")).groupBy("cls", "centre").agg(F.count("*").alias("n"), F.first(F.expr(f"{first} + m")).alias("length"))
     near = near.where("3 * n >= length").groupBy(F.col("cls").alias("x")).agg(F.max_by("centre", F.struct(F.col("n"), -F.col("centre"))).alias("y"))
-    links = _verified(near, base)
+    links = written(_linked(_compared(near, base)), "star-links").dropDuplicates(["x"])
     found = connected(links)
 
-    # Second round: entries of a component's classes are one; pairs are made of components only.
-    entries = entries.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    entries = written(entries.select("token", "cls", "size", "m", "component"), "prefixes-joined")
-    groups = entries.groupBy("token", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"))
-    a, b = groups.alias("a"), groups.alias("b")
-    met = a.join(b, F.expr("a.token = b.token AND a.component < b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
-    met = met.groupBy(F.col("a.component").alias("ca"), F.col("b.component").alias("cb")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"))
-    met = met.where("n >= m").select("ca", "cb")
-    left = entries.select(F.col("component").alias("ca"), "token", F.col("cls").alias("x"), F.col("size").alias("sx"), F.col("m").alias("mx"))
-    right = entries.select(F.col("component").alias("cb"), "token", F.col("cls").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
-    pairs = met.join(left, "ca").join(right, ["cb", "token"]).where(_alike("sx", "sy"))
+    # Second round: the members of a star are one, and pairs are made of stars of different components.
+    # A member is within distance 0.2 of its centre, so two stars can only hold a link if their centres
+    # are within 0.6, and a star and a single class if they are within 0.4 (the triangle inequality).
+    entries = entries.select("token", "cls", "size", "m").join(links.select(F.col("x").alias("cls"), F.col("y").alias("star")), "cls", "left")
+    entries = entries.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("single", F.col("component").isNull())
+    entries = entries.withColumn("star", F.coalesce("star", "cls")).withColumn("component", F.coalesce("component", "cls"))
+    entries = written(entries, "prefixes-joined")
+    groups = entries.groupBy("token", "star").agg(F.min("component").alias("component"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"), F.min("single").alias("single"))
+    met = groups.alias("a").join(groups.alias("b"), F.expr("a.token = b.token AND a.star < b.star AND a.component <> b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
+    met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min(F.col("a.single").cast("int") + F.col("b.single").cast("int")).alias("singles"))
+    compared = _compared(met.where("n >= m").select("x", "y", "singles"), base)
+    links = links.unionByName(_linked(compared))
+    wide = compared.where("singles < 2 AND 100 * shared < 80 * union AND 10 * shared >= CASE singles WHEN 1 THEN 6 ELSE 4 END * union")
+    wide = written(wide.select(F.col("x").alias("sa"), F.col("y").alias("sb")).distinct(), "wide")
+    left = entries.join(_short(wide), F.col("star") == F.col("sa")).select("sb", "token", F.col("cls").alias("x"), F.col("size").alias("sx"), F.col("m").alias("mx"))
+    right = entries.select(F.col("star").alias("sb"), "token", F.col("cls").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
+    pairs = left.join(right, ["sb", "token"]).where(_alike("sx", "sy"))
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("m")).where("n >= m").select("x", "y")
-    links = links.unionByName(_verified(pairs, base))
+    links = links.unionByName(_linked(_compared(pairs, base)))
     found = connected(links)
 
     out = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "size", "cls", F.coalesce("component", "cls").alias("component"))
