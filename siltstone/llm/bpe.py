@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,25 @@ SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
+#: The same pattern for texts of Latin-1 letters, which the standard library matches faster. The
+#: Latin-1 numbers that are not digits are left to the full pattern.
+LATIN_LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+LATIN_SPACE = r"\t\n\v\f\r \x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTERS}]+| ?[0-9]+| ?[^{LATIN_SPACE}{LATIN_LETTERS}0-9]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+"
+LATIN_NUMBERS = "\xb2\xb3\xb9\xbc\xbd\xbe"
+
+
+def is_plain_latin(text: str) -> bool:
+    """True if both patterns split a text alike."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in LATIN_NUMBERS)
+
+
 class Splitter:
     """Splits texts into pre-tokens; special tokens stand alone."""
 
@@ -47,20 +67,32 @@ class Splitter:
     def __getstate__(self) -> dict:
         return {"specials": self.specials, "_compiled": None}
 
+    def _words(self, text: str) -> list[str]:
+        return self._compiled[0 if is_plain_latin(text) else 1].findall(text)
+
     def __call__(self, text: str) -> list[str]:
         if self._compiled is None:
             import regex
 
-            self._compiled = regex.compile(PATTERN), regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        words, marks = self._compiled
+            marks = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+            self._compiled = re.compile(LATIN_PATTERN), regex.compile(PATTERN), marks
+        marks = self._compiled[2]
         if marks is None or not any(s in text for s in self.specials):
-            return words.findall(text)
+            return self._words(text)
         found: list[str] = []
         for i, part in enumerate(marks.split(text)):
-            found += [part] if i % 2 else words.findall(part)
+            found += [part] if i % 2 else self._words(part)
         return found
 
 
+class Numbering(dict):
+    """Numbers new keys in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def special_tokens(tokenizer_json: str) -> list[str]:
     return [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
 
@@ -76,17 +108,21 @@ def piece_table(tokenizer_json: str) -> list[bytes]:
     return [rows.get(i, b"") for i in range(max(rows) + 1)]
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a batch that go to one block, compressed together."""
     for batch in batches:
-        rows = []
-        for block, part in batch.groupby("block"):
-            table = pa.table({"doc_id": pa.array(part["doc_id"], pa.int64(), from_pandas=True), "text": pa.array(part["text"], pa.large_string())})
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        bounds = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(block) else np.zeros(1, np.int64)
+        blocks, packed = [], []
+        for a, b in zip(bounds, bounds[1:]):
+            some = batch.select(["doc_id", "text"]).take(pa.array(order[a:b]))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            rows.append((block, zstandard.compress(sink.getvalue(), 3)))
-        yield pd.DataFrame(rows, columns=["block", "packed"])
+            with pa.ipc.new_stream(sink, some.schema) as out:
+                out.write_batch(some)
+            blocks.append(int(block[order[a]]))
+            packed.append(zstandard.compress(sink.getvalue(), 3))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
 
 
 def _unpack(packed: bytes) -> pa.Table:
@@ -160,13 +196,13 @@ def _place(splitter: Splitter):
 
     def place(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         docs, places = [], []
-        at_of: dict[str, int] = {}
+        at_of = Numbering()
         for packed in texts["packed"]:
             table = _unpack(packed)
             docs += table["doc_id"].to_pylist()
             for text in table["text"].to_pylist():
                 found = splitter(text)
-                places.append(np.fromiter((at_of.setdefault(w, len(at_of)) for w in found), np.int32, len(found)))
+                places.append(np.fromiter(map(at_of.__getitem__, found), np.int32, len(found)))
         # Numbers count the sorted words; `at_of` counts them as they came.
         number = np.empty(len(at_of), np.int64)
         number[[at_of[w] for w in sorted(at_of)]] = np.arange(len(at_of))
@@ -205,7 +241,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     blocks = max(1, -(-size // BLOCK_BYTES))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     partitions = min(blocks, MOST_PARTITIONS)
-    packed = base.mapInPandas(_pack, "block int, packed binary").repartition(partitions, "block")
+    packed = base.mapInArrow(_pack, "block int, packed binary").repartition(partitions, "block")
     words = packed.groupBy("block").applyInPandas(_words_of(splitter, partitions), "part int, block int, numbers binary, words binary")
     encoded = words.repartition(partitions, "part").mapInPandas(_encode_words(tokenizer_json), "block int, numbers binary, counts binary, ids binary")
     return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(_place(splitter), "doc_id long, ids array<int>")
@@ -219,7 +255,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     @F.pandas_udf("string")
     def joined(column: pd.Series) -> pd.Series:
         piece = pieces.value.__getitem__
-        return pd.Series([b"".join(map(piece, ids)).decode("utf-8", "replace") for ids in column])
+        return pd.Series([b"".join(map(piece, ids.tolist())).decode("utf-8", "replace") for ids in column])
 
     return encoded.select("doc_id", "ids", joined("ids").alias("decoded"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -60,3 +61,12 @@ def test_words_alone_encode_as_in_the_text(text):
     words = bpe.Splitter(["<|endoftext|>"])(text)
     assert "".join(words) == text
     assert [i for w in words for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_texts_split_alike(library):
+    rng = random.Random(3)
+    alphabet = "abÀéßªµº×÷0 9''sdt\n\t\r\x85\xa0\x1c\x1f_-²³¹¼½¾!¡ <|>" + "".join(map(chr, range(256)))
+    splitter = bpe.Splitter([])
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30)))
+        assert [i for w in splitter(text) for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, repr(text)
