@@ -3,7 +3,8 @@
 Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked, exactly,
 and every document gets the smallest id it can reach by links.
 
-Plan. Documents of one shingle set form a class. A set's tokens are put in one global order: first
+Plan. Documents of one shingle set form a class, named by 64 bits of its digest, so ids may be null or
+repeat with different texts. A set's tokens are put in one global order: first
 those that repeat little, by hash, then the frequent ones (a bounded list of heavy hitters). With
 `need` = ceil(0.8 * size), two linked sets share at least m tokens within the first
 size - need + m of each, for every m up to `need`. Each class picks its own m: where a prefix meets
@@ -92,7 +93,12 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-PROFILE = "id long, size int, d1 long, d2 long"
+PROFILE = "id long, body long, size int, d1 long, d2 long"
+
+
+def _digest(tokens: np.ndarray) -> np.ndarray:
+    """128 bits of a set; the first 64 name its class."""
+    return np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +107,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, digests = [], []
         for tokens in shingle_sets(batch.column("text")):
             sizes.append(len(tokens))
-            digests.append(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64))
+            digests.append(_digest(tokens))
         d = np.array(digests, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["id", "size", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(sizes, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["id", "body", "size", "d1", "d2"])
 
 
 ENTRY = "token long, cls long, size int, place int"
@@ -115,9 +121,10 @@ def _entries(heavy):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value
         for batch in batches:
-            ids, heads, sizes = batch.column("id").to_numpy(), [], []
+            names, heads, sizes = [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 size = len(tokens)
+                names.append(_digest(tokens)[0])
                 length = min(size, size - required(size) + MOST_MATCHES)
                 if len(frequent) and size:
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -128,7 +135,7 @@ def _entries(heavy):
             if not heads:
                 continue
             counts = [len(h) for h in heads]
-            columns = [np.concatenate(heads).view(np.int64), np.repeat(ids, counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
+            columns = [np.concatenate(heads).view(np.int64), np.repeat(np.array(names, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "size", "place"])
 
     return entries
@@ -138,8 +145,15 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 200):
             part = batch.iloc[at : at + 200]
-            tokens = [t.view(np.int64) for t in shingle_sets(pa.array(part["text"], pa.large_string(), from_pandas=True))]
-            yield pd.DataFrame({"cls": part["cls"].to_numpy(), "tokens": tokens})
+            sets = list(shingle_sets(pa.array(part["text"], pa.large_string(), from_pandas=True)))
+            yield pd.DataFrame({"cls": [_digest(t)[0] for t in sets], "tokens": [t.view(np.int64) for t in sets]})
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of each text, with the text."""
+    for batch in batches:
+        names = [_digest(t)[0] for t in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text").cast(pa.string())], ["cls", "text"])
 
 
 def _short(df: DataFrame, row_bytes: int = 32) -> DataFrame:
@@ -147,19 +161,22 @@ def _short(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _whole_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and tokens of the documents whose ids are in the one column of `wanted`."""
-    ids = written(wanted.distinct(), "wanted")
-    texts = base.where("text IS NOT NULL").join(_short(ids), base["id"] == ids[ids.columns[0]], "left_semi")
-    return texts.select(F.col("id").alias("cls"), "text").mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0")
+def _whole_sets(base: DataFrame, several: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and tokens of the classes in the one column of `wanted`, each of one text: that of the class's
+    smallest id, or that in `several` if this id repeats."""
+    wanted = wanted.distinct().toDF("cls")
+    found = written(classes.join(wanted, "cls", "left_semi"), "wanted")
+    texts = base.where("text IS NOT NULL").join(_short(found.where("alone").select(F.col("first").alias("id"))), "id", "left_semi").select("text")
+    texts = texts.unionByName(several.join(_short(found.where("NOT alone").select("cls")), "cls", "left_semi").select("text"))
+    return texts.mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0")
 
 
-def _compared(pairs: DataFrame, base: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, base: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (x, y) with the sizes of intersection and union of their whole sets; only the sets of
     one side each are moved."""
     pairs = written(pairs, "pairs")
-    one = _whole_sets(base, pairs.select("x")).select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
-    two = _whole_sets(base, pairs.select("y")).select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
+    one = _whole_sets(base, several, classes, pairs.select("x")).select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
+    two = _whole_sets(base, several, classes, pairs.select("y")).select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
     both = one.join(_short(pairs), "x").join(two, "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")).cast("long"))
     return written(both.select(*pairs.columns, "shared", (F.size("tx") + F.size("ty") - F.col("shared")).alias("union")), "compared")
 
@@ -174,18 +191,27 @@ def _alike(a: str, b: str) -> str:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text), and class_id, its class."""
+    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text), class_id (the smallest id of
+    its class) and body (hash of the text)."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("body"))
     heavy = spark.sparkContext.broadcast(frequent_tokens(base))
     profiles = written(base.mapInArrow(_profiles, PROFILE), "profiles")
     full = profiles.where("size > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("cls"), F.count("*").alias("rows"))
-    members = written(full.join(classes, ["d1", "d2"]), "members").select("id", "size", "cls")
-
-    # Prefix entries of the smallest document of each class; those of tokens that others have are kept.
-    copies = written(members.where("id <> cls").select("id"), "copies")
-    own = base.where("text IS NOT NULL").join(_short(copies), "id", "left_anti")
+    repeated = written(full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("first")).select(F.col("d1").alias("cls"), "first")
+    classes = classes.join(_short(repeated.select(F.col("id").alias("first"), F.lit(False).alias("alone"))), "first", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
+    classes = written(classes, "classes")
+    members = written(full.select("id", "body", "size", F.col("d1").alias("cls")).join(classes, "cls"), "members")
+
+    # Prefix entries of one text of each class: that of its smallest id, by id where the id is one row's
+    # alone, else by class; entries of tokens that others have are kept.
+    texts = base.where("text IS NOT NULL")
+    several = texts.join(_short(repeated), "id", "left_semi").select("text").mapInArrow(_named, "cls long, text string")
+    several = several.join(_short(classes.where("NOT alone").select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
+    several = written(several, "several")
+    copies = written(members.where("id <> first").select("id").unionByName(repeated).distinct(), "copies")
+    own = texts.join(_short(copies), "id", "left_anti").select("text").unionByName(several.select("text"))
     entries = own.mapInArrow(_entries(heavy), ENTRY).repartition("token")
     shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("cls", "size")).alias("c")).where("df > 1")
     entries = written(entries.join(shared, "token").select("*", F.col("c.cls").alias("centre"), F.col("c.size").alias("centre_size")).drop("c"), "entries")
@@ -202,8 +228,8 @@ def components(docs: DataFrame) -> DataFrame:
     # First round: each class against the one centre (the smallest class of a token) that it meets most,
     # if they share a third of its prefix. What this round leaves out, the second one finds.
     near = entries.where("cls <> centre").where(_alike("size", "centre_size")).groupBy("cls", "centre").agg(F.count("*").alias("n"), F.first(F.expr(f"{first} + m")).alias("length"))
-    near = near.where("3 * n >= length").groupBy(F.col("cls").alias("x")).agg(F.max_by("centre", F.struct(F.col("n"), -F.col("centre"))).alias("y"))
-    links = written(_linked(_compared(near, base)), "star-links").dropDuplicates(["x"])
+    near = near.where("3 * n >= length").groupBy(F.col("cls").alias("x")).agg(F.max_by("centre", F.struct("n", "centre")).alias("y"))
+    links = written(_linked(_compared(near, base, several, classes)), "star-links").dropDuplicates(["x"])
     found = connected(links)
 
     # Second round: the members of a star are one, and pairs are made of stars of different components.
@@ -216,7 +242,7 @@ def components(docs: DataFrame) -> DataFrame:
     groups = entries.groupBy("token", "star").agg(F.min("component").alias("component"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"), F.min("single").alias("single"))
     met = groups.alias("a").join(groups.alias("b"), F.expr("a.token = b.token AND a.star < b.star AND a.component <> b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
     met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min(F.col("a.single").cast("int") + F.col("b.single").cast("int")).alias("singles"))
-    compared = _compared(met.where("n >= m").select("x", "y", "singles"), base)
+    compared = _compared(met.where("n >= m").select("x", "y", "singles"), base, several, classes)
     links = links.unionByName(_linked(compared))
     wide = compared.where("singles < 2 AND 100 * shared < 80 * union AND 10 * shared >= CASE singles WHEN 1 THEN 6 ELSE 4 END * union")
     wide = written(wide.select(F.col("x").alias("sa"), F.col("y").alias("sb")).distinct(), "wide")
@@ -224,10 +250,13 @@ def components(docs: DataFrame) -> DataFrame:
     right = entries.select(F.col("star").alias("sb"), "token", F.col("cls").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
     pairs = left.join(right, ["sb", "token"]).where(_alike("sx", "sy"))
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("m")).where("n >= m").select("x", "y")
-    links = links.unionByName(_linked(_compared(pairs, base)))
+    links = links.unionByName(_linked(_compared(pairs, base, several, classes)))
     found = connected(links)
 
-    out = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "size", "cls", F.coalesce("component", "cls").alias("component"))
-    out = out.unionByName(profiles.where("size = 0").select("id", "size", F.col("id").alias("cls"), F.col("id").alias("component")))
+    # Components are named by the smallest id in them.
+    told = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    told = told.select("cls", "group").join(told.groupBy("group").agg(F.min("first").alias("component")), "group").select("cls", "component")
+    out = members.join(told, "cls").select("id", "body", "size", F.col("first").alias("cls"), "component")
+    out = out.unionByName(profiles.where("size = 0").select("id", "body", "size", F.col("id").alias("cls"), F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), real("component").alias("component_id"), real("cls").alias("class_id"))
+    return out.select(real("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), real("component").alias("component_id"), real("cls").alias("class_id"), "body")

@@ -97,3 +97,15 @@ def test_nulls_repeats_and_empty(spark):
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 1, -1), (3, 1, -1), (3, 1, -1), (4, 0, 4), (5, 0, 5)]
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{n}{rng.randrange(900)}" for _ in range(60)] for n in "abc")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(b)), (7, near(a)), (None, " ".join(c)), (None, "six words that none else has"), (9, near(c))]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {len(brute_set(t)) for _, t in rows}
+    assert len(got) == len(rows) and {r.n_shingles for r in got} == sets
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (3, 3), (5, 3), (5, 5), (7, 5), (9, -1)]
+    assert all(r.class_id == r.doc_id for r in got if r.doc_id in (7, 9))
