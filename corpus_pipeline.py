@@ -32,13 +32,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; null ids stay."""
-    groups = ngram_join.components(docs)
-    others = groups.where("doc_id <> component_id OR component_id IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
-    # Rows that repeat an id are one document.
-    first = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return first.unionByName(left.where("doc_id IS NULL")).select(docs.columns)
+    """Of each group of near duplicates one document stays: that of the smallest id (null first), then text
+    hash. Rows equal in id and text are one document. Without a set of n-grams, rows with null ids all stay."""
+    groups = ngram_join.components(docs).withColumn("id", F.coalesce("doc_id", F.lit(ngram_join.NO_ID)))
+    # Components of unlike texts may share their smallest id, so they go by group_id.
+    kept = groups.where("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct("id", "body")).alias("k")).select("k.*")
+    kept = kept.unionByName(groups.where("n_shingles = 0").select("id", "body")).distinct().select(F.col("id").alias("kept_id"), F.col("body").alias("kept_body"))
+    key, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(ngram_join.NO_ID)), F.xxhash64("text")
+    left = docs.withColumn("row_id", key).withColumn("row_body", body)
+    left = left.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("row_body") == F.col("kept_body")), "left_semi")
+    blank = F.col("doc_id").isNull() & (F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0)
+    first = left.where(~blank).dropDuplicates(["row_id", "row_body"])
+    return first.unionByName(left.where(blank)).select(docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

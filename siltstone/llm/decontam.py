@@ -57,6 +57,11 @@ def _seeded(rows: DataFrame, keys: list[str]) -> DataFrame:
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds a passage of: doc_id, item_id, the best stretch
     (`start` in words of the document, `words`) and how many of its words agree (`same`)."""
+    return _found(docs, benchmark).drop("body")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`contaminations` with `body`, the hash of the document's text."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
     seeds = _seeded(items, ["item"]).withColumnRenamed("at", "item_at").distinct()
@@ -95,10 +100,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "item_id", "body", start.alias("start"), F.col("span").alias("words"), F.col("best").alias("same"))
     best = F.max(F.struct((F.col("same") / F.col("words")).alias("share"), F.col("words"), (-F.col("start")).alias("back"), F.col("same"))).alias("b")
     out = rows.groupBy("doc_id", "item_id", "body").agg(best)
-    return out.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.words").alias("words"), F.col("b.same").alias("same"))
+    return out.select("doc_id", "item_id", "body", (-F.col("b.back")).alias("start"), F.col("b.words").alias("words"), F.col("b.same").alias("same"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a passage of an item; columns and other rows as they are."""
-    found = contaminations(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked_id"]), "left_anti")
+    found = _found(docs, benchmark).select(F.col("doc_id").alias("leaked_id"), F.col("body").alias("leaked_body")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked_id"]) & (F.xxhash64(docs["text"]) == found["leaked_body"]), "left_anti")

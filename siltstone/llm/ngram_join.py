@@ -192,7 +192,7 @@ def _alike(a: str, b: str) -> str:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text), class_id (the smallest id of
-    its class) and body (hash of the text)."""
+    its class), body (hash of the text) and group_id (the component, told apart where smallest ids are equal)."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("body"))
     heavy = spark.sparkContext.broadcast(frequent_tokens(base))
@@ -255,8 +255,8 @@ def components(docs: DataFrame) -> DataFrame:
 
     # Components are named by the smallest id in them.
     told = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
-    told = told.select("cls", "group").join(told.groupBy("group").agg(F.min("first").alias("component")), "group").select("cls", "component")
-    out = members.join(told, "cls").select("id", "body", "size", F.col("first").alias("cls"), "component")
-    out = out.unionByName(profiles.where("size = 0").select("id", "body", "size", F.col("id").alias("cls"), F.col("id").alias("component")))
+    told = told.select("cls", "group").join(told.groupBy("group").agg(F.min("first").alias("component")), "group").select("cls", "group", "component")
+    out = members.join(told, "cls").select("id", "body", "size", F.col("first").alias("cls"), "component", "group")
+    out = out.unionByName(profiles.where("size = 0").select("id", "body", "size", F.col("id").alias("cls"), F.col("id").alias("component"), F.lit(None).cast("long").alias("group")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), real("component").alias("component_id"), real("cls").alias("class_id"), "body")
+    return out.select(real("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), real("component").alias("component_id"), real("cls").alias("class_id"), "body", F.col("group").alias("group_id"))

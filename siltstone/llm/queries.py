@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents")).drop("class_id", "body")
+    return ngram_join.components(table(spark, sf_dir, "documents")).drop("class_id", "body", "group_id")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,16 @@ def test_stages_equal_brute_force(spark, folder):
     assert set(out) == set(texts)
     for d, r in out.items():
         assert r.ids == library.encode(texts[d], add_special_tokens=False).ids and r.decoded == texts[d]
+
+
+def test_rows_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e = (say() for _ in range(5))
+    schema = "doc_id long, text string"
+    rows = [(1, a), (1, b), (None, c), (None, c), (None, d), (2, d), (3, e), (None, None)]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (1, b), (0, c), (0, d), (3, e), (0, "")])
+    spark.createDataFrame([(1, b), (2, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.drop_leaked(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (0, d), (2, d), (3, e), (0, "")])
