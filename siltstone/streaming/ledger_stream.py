@@ -3,6 +3,8 @@
 Messages are files of a folder; each micro-batch is applied to a snapshot by keyed merges, so a batch
 that runs twice leaves the same state. The stream ends when the folder is read (`availableNow`); the
 same functions serve a standing query with another trigger.
+
+The dead-letter source (survey J7) is not built: no function or query here handles dead letters.
 """
 
 from __future__ import annotations
