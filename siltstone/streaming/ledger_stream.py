@@ -1,4 +1,4 @@
-"""The crawl queue as a stream: at-least-once messages, idempotent claims, failures, dead letters.
+"""The crawl queue as a stream: at-least-once messages, idempotent claims, failures.
 
 Messages are files of a folder; each micro-batch is applied to a snapshot by keyed merges, so a batch
 that runs twice leaves the same state. The stream ends when the folder is read (`availableNow`); the
