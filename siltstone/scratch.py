@@ -1,7 +1,8 @@
 """Written intermediate tables: they cut lineage and survive lost executors.
 
 The folder is the one the session names in `spark.checkpoint.dir`, which every executor shares. Only
-where none is set (tests, a laptop) a temporary folder of the driver takes its place.
+a local session without one (tests, a laptop) uses a temporary folder of the driver; a cluster
+without one is refused, as its executors could not read each other's files.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ def root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -30,11 +34,14 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written there; DataFrames that read it can't be used afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{root(spark)}/siltstone/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,4 +49,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of DataFrames that `written` returned and that nothing will read any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._siltstone_path)
