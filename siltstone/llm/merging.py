@@ -34,8 +34,8 @@ def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike:
     """Links (x, y) found in rounds, and the entries, with `component`, of buckets with several components.
 
     `entries` has key, node, `least` (so many buckets must agree on a pair before it is compared in a
-    round; any number only changes cost) and columns that `alike`, an SQL condition on `size` and
-    `other.size`, may name. `compare` returns the rows of its argument (x, y, cx, cy) that are linked.
+    round), `score` (nodes of high score are compared first; both only change cost) and maybe `size` and
+    `at`, which `alike`, an SQL condition, may name, also as `other.size` and `other.at`. `compare` returns the rows of its argument (x, y, cx, cy) that are linked.
     """
     spark = entries.sparkSession
     extra = [c for c in entries.columns if c not in ("key", "node")]
@@ -44,8 +44,11 @@ def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike:
     held: DataFrame | None = None
     for number in range(MOST_ROUNDS):
         seeds = range(PICKS * number, PICKS * number + PICKS)
-        told = ["node", "component", *(["size"] if "size" in extra else [])]
-        picks = [F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("order"), *told)) for seed in seeds]
+        told = ["node", "component", *[c for c in ("size", "at") if c in extra]]
+        # A node whose keys many others have is likely the one that the others are copies of.
+        luck = [F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 20)) / (1 << 20) for seed in seeds]
+        order = [-F.col("score") * (1 - 0.1 * number * luck[0]), *luck[1:]]
+        picks = [F.min(F.struct(o.alias("order"), *told)) for o in order]
         buckets = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array(*picks).alias("others")).where("low <> high")
         buckets = written(buckets.select("key", "others"), "buckets")
         left = written(active.join(buckets, "key"), "active")

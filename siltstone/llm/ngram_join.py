@@ -4,22 +4,23 @@ Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8
 and every document gets the smallest id it can reach by links.
 
 Plan. Documents of one shingle set form a class, named by 64 bits of its digest, so ids may be null or
-repeat with different texts. A set's tokens are put in one global order: first
+repeat with different texts; one row, told by (id, hash of the text), stands for a class. A set's tokens are put in one global order: first
 those that repeat little, by hash, then the frequent ones (a bounded list of heavy hitters). With
 `need` = ceil(0.8 * size), two linked sets share at least m tokens within the first
 size - need + m of each, for every m up to `need`. Each class picks its own m: where a prefix meets
 many others, it is lengthened and m shared tokens are asked for, if the estimated cost of fetching
 and verifying candidates is lower so. A pair needs the smaller m of its two classes.
 
-Large groups of near copies are never expanded into pairs: a first round verifies each class
-against one centre only, and the second joins the stars found so far, so that pairs within one
-component are neither made nor verified. Stars of different components are compared by their centres
-and opened only where the triangle inequality leaves room for a link; all links are verified on
-whole sets.
+Large groups of near copies are never expanded into pairs. Rounds (`merging`) verify each class against a few
+classes that stand for its tokens and join what is linked. What is left is made into pairs of stars (a
+class and what was linked to it first) of different components; stars are compared by their centres
+and opened only where the triangle inequality leaves room for a link and no link has joined their
+components meanwhile; all links are verified on whole sets.
 
 Defined cases: null, empty and blank texts have no set and are their own component; rows of one id
-are compared each with its own text and report the component of that text; null ids take part as
-the id -2**63 and are reported as null; other columns are ignored; an empty table gives no rows.
+are compared each with its own text and report the component of that text; a component is named by
+the smallest id that is not null in it, or null if there is none; rows equal in id and text are
+reported each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected
+from siltstone.llm.merging import merge, short
 from siltstone.llm.shingles import shingle_sets
-from siltstone.scratch import written
+from siltstone.scratch import discard, written
 
 #: Largest number of shared prefix tokens that is asked for.
 MOST_MATCHES = 4
@@ -46,10 +47,12 @@ MOST_HEAVY = 1 << 20
 #: A token that fewer texts have is not frequent at any size of the input.
 LEAST_HEAVY = 64
 NO_ID = -(2**63)
-#: Lists of ids or pairs up to this size are sent to the scan of texts; longer ones are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 #: Tokens that a task counts at once when it looks for frequent ones.
-COUNT_TOKENS = 4_000_000
+COUNT_TOKENS = 2_000_000
+#: Rows that a task sends on at once.
+SEND_ROWS = 200_000
+#: Frequent tokens are counted in so many parts each.
+SALTS = 64
 
 
 def required(size):
@@ -57,132 +60,147 @@ def required(size):
     return (4 * size + 4) // 5
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that repeat within a stretch of texts, with counts; and the number of tokens, under null."""
+PROFILE = "id long, body long, size int, node long, token long, n long"
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and class of each text's set; and, in rows of their own, tokens that repeat within a
+    stretch of texts, with counts."""
     held: list[np.ndarray] = []
-    size = total = 0
+    size = 0
+
+    def rows(length: int, **known: pa.Array) -> pa.RecordBatch:
+        types = {"id": pa.int64(), "body": pa.int64(), "size": pa.int32(), "node": pa.int64(), "token": pa.int64(), "n": pa.int64()}
+        return pa.RecordBatch.from_arrays([known[c] if c in known else pa.nulls(length, t) for c, t in types.items()], list(types))
 
-    def told() -> pa.RecordBatch:
+    def repeats() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
         keep = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
+        return rows(int(keep.sum()), token=pa.array(values[keep].view(np.int64)), n=pa.array(counts[keep].astype(np.int64)))
 
     for batch in batches:
+        sizes, names = [], []
         for tokens in shingle_sets(batch.column("text")):
+            sizes.append(len(tokens))
+            names.append(_name(tokens))
             held.append(tokens)
             size += len(tokens)
-            total += len(tokens)
             if size >= COUNT_TOKENS:
-                yield told()
+                yield repeats()
                 held, size = [], 0
-    yield told()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["token", "n"])
+        yield rows(len(sizes), id=batch.column("id"), body=batch.column("body"), size=pa.array(sizes, pa.int32()), node=pa.array(names, pa.int64()))
+    yield repeats()
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
+def frequent_tokens(profiles: DataFrame) -> np.ndarray:
     """Heavy hitters among all tokens of all texts, sorted: at most MOST_HEAVY of them.
 
     A token counts where it repeats within a stretch; its count is a lower bound. The list only sets
     the order of tokens, so it changes cost and never results.
     """
-    counts = docs.select("text").mapInArrow(_repeats, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(f"token IS NULL OR n >= {LEAST_HEAVY}"), "token-counts")
-    total = counts.where("token IS NULL").select("n").first()
-    least = max(LEAST_HEAVY, -(-(total[0] if total else 0) // MOST_HEAVY))
-    found = counts.where(f"token IS NOT NULL AND n >= {least}").select("token").toPandas()["token"].to_numpy(np.int64)
+    counts = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    total = profiles.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    least = max(LEAST_HEAVY, -(-total // MOST_HEAVY))
+    found = counts.where(f"n >= {least}").select("token").toPandas()["token"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
 
-PROFILE = "id long, body long, size int, d1 long, d2 long"
-
-
-def _digest(tokens: np.ndarray) -> np.ndarray:
-    """128 bits of a set; the first 64 name its class."""
-    return np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
-
+def _name(tokens: np.ndarray) -> int:
+    """The class of a set: 64 bits of its digest."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and 128-bit digest of each text's set."""
-    for batch in batches:
-        sizes, digests = [], []
-        for tokens in shingle_sets(batch.column("text")):
-            sizes.append(len(tokens))
-            digests.append(_digest(tokens))
-        d = np.array(digests, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(sizes, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["id", "body", "size", "d1", "d2"])
 
-
-ENTRY = "token long, cls long, size int, place int"
+ENTRY = "key long, node long, size int, place int, common boolean"
 
 
 def _entries(heavy):
-    """A row for each token of each text's longest prefix: token, class, size and place."""
+    """A row for each token of each text's longest prefix: token, class, size, place, and if it is frequent."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value
+        names, heads, sizes, rare, rows = [], [], [], [], 0
+
+        def told() -> pa.RecordBatch:
+            counts = [len(h) for h in heads]
+            place = np.concatenate([np.arange(c, dtype=np.int32) for c in counts] or [np.zeros(0, np.int32)])
+            tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+            columns = [tokens.view(np.int64), np.repeat(np.array(names, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), place, place >= np.repeat(np.array(rare, np.int32), counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "place", "common"])
+
         for batch in batches:
-            names, heads, sizes = [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 size = len(tokens)
-                names.append(_digest(tokens)[0])
+                names.append(_name(tokens))
                 length = min(size, size - required(size) + MOST_MATCHES)
+                rare.append(size)
                 if len(frequent) and size:
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
                     common = frequent[at] == tokens
+                    rare[-1] = size - int(common.sum())
                     tokens = np.concatenate([tokens[~common], tokens[common]])
-                heads.append(tokens[:length])
+                # A copy, as a view would keep the whole set in memory.
+                heads.append(tokens[:length].copy())
                 sizes.append(size)
-            if not heads:
-                continue
-            counts = [len(h) for h in heads]
-            columns = [np.concatenate(heads).view(np.int64), np.repeat(np.array(names, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "size", "place"])
+                rows += length
+                if rows >= SEND_ROWS:
+                    yield told()
+                    names, heads, sizes, rare, rows = [], [], [], [], 0
+        yield told()
 
     return entries
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and whole set of each text that has one."""
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            part = batch.iloc[at : at + 200]
-            sets = list(shingle_sets(pa.array(part["text"], pa.large_string(), from_pandas=True)))
-            yield pd.DataFrame({"cls": [_digest(t)[0] for t in sets], "tokens": [t.view(np.int64) for t in sets]})
-
+        held, size = [], 0
+        for tokens in shingle_sets(batch.column("text")):
+            if len(tokens):
+                held.append(tokens.view(np.int64))
+                size += len(tokens)
+            if size >= SEND_ROWS:
+                yield _listed(held, schema)
+                held, size = [], 0
+        yield _listed(held, schema)
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of each text, with the text."""
-    for batch in batches:
-        names = [_digest(t)[0] for t in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text").cast(pa.string())], ["cls", "text"])
 
+def _listed(held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    names = [_name(t) for t in held]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
-def _short(df: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """`df`, to be broadcast if its rows are counted and few; it must be cheap to count."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
+class _Texts:
+    """The texts that stand for classes: `base` (id, body, text), where rows may repeat."""
 
-def _whole_sets(base: DataFrame, several: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and tokens of the classes in the one column of `wanted`, each of one text: that of the class's
-    smallest id, or that in `several` if this id repeats."""
-    wanted = wanted.distinct().toDF("cls")
-    found = written(classes.join(wanted, "cls", "left_semi"), "wanted")
-    texts = base.where("text IS NOT NULL").join(_short(found.where("alone").select(F.col("first").alias("id"))), "id", "left_semi").select("text")
-    texts = texts.unionByName(several.join(_short(found.where("NOT alone").select("cls")), "cls", "left_semi").select("text"))
-    return texts.mapInPandas(_sets, "cls long, tokens array<long>").where("size(tokens) > 0")
+    def __init__(self, base: DataFrame, reps: DataFrame, repeated: DataFrame) -> None:
+        self.reps = reps
+        self.parts = [base.where("text IS NOT NULL")]
+        if repeated.count():
+            once = self.parts[0].join(short(repeated, 32), ["id", "body"], "left_semi").groupBy("id", "body").agg(F.first("text").alias("text"))
+            self.parts = [self.parts[0].join(short(repeated, 32), ["id", "body"], "left_anti"), written(once, "repeated-texts")]
 
+    def of(self, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+        """Texts whose id and body are, or with left_anti are not, in `rows`; each once."""
+        parts = [p.join(short(rows, 32), ["id", "body"], how).select("text") for p in self.parts]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-def _compared(pairs: DataFrame, base: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (x, y) with the sizes of intersection and union of their whole sets; only the sets of
-    one side each are moved."""
-    pairs = written(pairs, "pairs")
-    one = _whole_sets(base, several, classes, pairs.select("x")).select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
-    two = _whole_sets(base, several, classes, pairs.select("y")).select(F.col("cls").alias("y"), F.col("tokens").alias("ty"))
-    both = one.join(_short(pairs), "x").join(two, "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")).cast("long"))
-    return written(both.select(*pairs.columns, "shared", (F.size("tx") + F.size("ty") - F.col("shared")).alias("union")), "compared")
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) with the sizes of intersection and union of their whole sets."""
+        wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+        found = written(self.reps.join(short(written(wanted, "wanted"), 16), "node", "left_semi").select("id", "body"), "wanted-texts")
+        sets = written(self.of(found).mapInArrow(_sets, "node long, tokens array<long>"), "sets")
+        one, two = sets.toDF("x", "tx"), sets.toDF("y", "ty")
+        both = short(pairs, 48).join(one, "x").join(two, "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")).cast("long"))
+        out = written(both.select(*pairs.columns, "shared", (F.size("tx") + F.size("ty") - F.col("shared")).alias("union")), "compared")
+        discard(sets, found)
+        return out
 
 
 def _linked(compared: DataFrame) -> DataFrame:
-    return compared.where("100 * shared >= 80 * union").select("x", "y")
+    return compared.where("100 * shared >= 80 * union").drop("shared", "union")
 
 
 def _alike(a: str, b: str) -> str:
@@ -190,73 +208,76 @@ def _alike(a: str, b: str) -> str:
     return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
 
 
+def _prefixes(own: DataFrame, heavy) -> DataFrame:
+    """Prefix entries of classes: key (token), node (class), size, m (matches it asks for), and how common its tokens are."""
+    entries = own.mapInArrow(_entries(heavy), ENTRY)
+    # One shuffle by token counts its texts; the frequent ones, which are known, are counted in parts.
+    entries = entries.withColumn("salt", F.when(F.col("common"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)))
+    entries = entries.withColumn("df", F.count("*").over(Window.partitionBy("key", "salt")) * F.when(F.col("common"), F.lit(SALTS)).otherwise(F.lit(1)))
+    entries = entries.where("df > 1").drop("salt")
+    # The number of matches that each class asks for: the cheapest by the estimate below.
+    first = "size - (4 * size + 4) div 5"
+    own = Window.partitionBy("node")
+    costs = [F.sum(F.expr(f"CASE WHEN place < {first} + {m} THEN df - 1 ELSE 0 END")).over(own) for m in range(1, MOST_MATCHES + 1)]
+    # Fetching costs a unit for each entry met; at most cost / m candidates share m tokens.
+    estimates = [F.when(F.expr(f"(4 * size + 4) div 5 >= {m}"), c * (1 + VERIFY_COST / m)).otherwise(F.lit(float("inf"))) for m, c in enumerate(costs, 1)]
+    entries = entries.withColumn("estimates", F.array(*estimates)).withColumn("score", F.sum(F.log("df")).over(own))
+    entries = entries.withColumn("m", F.expr("cast(array_position(estimates, array_min(estimates)) as int)"))
+    return entries.where(f"place < {first} + m").select("key", "node", "size", "m", "score", F.expr(f"({first} + m + 2) div 3").alias("least"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text), class_id (the smallest id of
     its class), body (hash of the text) and group_id (the component, told apart where smallest ids are equal)."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("body"))
-    heavy = spark.sparkContext.broadcast(frequent_tokens(base))
-    profiles = written(base.mapInArrow(_profiles, PROFILE), "profiles")
+    scanned = written(base.mapInArrow(_profiles, PROFILE), "profiles")
+    heavy = spark.sparkContext.broadcast(frequent_tokens(scanned))
+    profiles = scanned.where("token IS NULL").select("id", "body", "size", "node")
     full = profiles.where("size > 0")
-    repeated = written(full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("first")).select(F.col("d1").alias("cls"), "first")
-    classes = classes.join(_short(repeated.select(F.col("id").alias("first"), F.lit(False).alias("alone"))), "first", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
-    classes = written(classes, "classes")
-    members = written(full.select("id", "body", "size", F.col("d1").alias("cls")).join(classes, "cls"), "members")
-
-    # Prefix entries of one text of each class: that of its smallest id, by id where the id is one row's
-    # alone, else by class; entries of tokens that others have are kept.
-    texts = base.where("text IS NOT NULL")
-    several = texts.join(_short(repeated), "id", "left_semi").select("text").mapInArrow(_named, "cls long, text string")
-    several = several.join(_short(classes.where("NOT alone").select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
-    several = written(several, "several")
-    copies = written(members.where("id <> first").select("id").unionByName(repeated).distinct(), "copies")
-    own = texts.join(_short(copies), "id", "left_anti").select("text").unionByName(several.select("text"))
-    entries = own.mapInArrow(_entries(heavy), ENTRY).repartition("token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("cls", "size")).alias("c")).where("df > 1")
-    entries = written(entries.join(shared, "token").select("*", F.col("c.cls").alias("centre"), F.col("c.size").alias("centre_size")).drop("c"), "entries")
-
-    # The number of matches that each class asks for: the cheapest by the estimate below.
-    first = "size - (4 * size + 4) div 5"
-    costs = [F.sum(F.expr(f"CASE WHEN place < {first} + {m} THEN df - 1 ELSE 0 END")) for m in range(1, MOST_MATCHES + 1)]
-    # Fetching costs a unit for each entry met; at most cost / m candidates share m tokens.
-    estimates = [F.when(F.expr(f"(4 * first(size) + 4) div 5 >= {m}"), c * (1 + VERIFY_COST / m)).otherwise(F.lit(float("inf"))) for m, c in enumerate(costs, 1)]
-    entries = entries.repartition("cls")
-    choice = entries.groupBy("cls").agg(F.array(*estimates).alias("estimates")).select("cls", F.expr("array_position(estimates, array_min(estimates))").cast("int").alias("m"))
-    entries = written(entries.join(choice, "cls").where(f"place < {first} + m"), "prefixes")
-
-    # First round: each class against the one centre (the smallest class of a token) that it meets most,
-    # if they share a third of its prefix. What this round leaves out, the second one finds.
-    near = entries.where("cls <> centre").where(_alike("size", "centre_size")).groupBy("cls", "centre").agg(F.count("*").alias("n"), F.first(F.expr(f"{first} + m")).alias("length"))
-    near = near.where("3 * n >= length").groupBy(F.col("cls").alias("x")).agg(F.max_by("centre", F.struct("n", "centre")).alias("y"))
-    links = written(_linked(_compared(near, base, several, classes)), "star-links").dropDuplicates(["x"])
-    found = connected(links)
-
-    # Second round: the members of a star are one, and pairs are made of stars of different components.
-    # A member is within distance 0.2 of its centre, so two stars can only hold a link if their centres
-    # are within 0.6, and a star and a single class if they are within 0.4 (the triangle inequality).
-    entries = entries.select("token", "cls", "size", "m").join(links.select(F.col("x").alias("cls"), F.col("y").alias("star")), "cls", "left")
-    entries = entries.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("single", F.col("component").isNull())
-    entries = entries.withColumn("star", F.coalesce("star", "cls")).withColumn("component", F.coalesce("component", "cls"))
-    entries = written(entries, "prefixes-joined")
-    groups = entries.groupBy("token", "star").agg(F.min("component").alias("component"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"), F.min("single").alias("single"))
-    met = groups.alias("a").join(groups.alias("b"), F.expr("a.token = b.token AND a.star < b.star AND a.component <> b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
-    met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min(F.col("a.single").cast("int") + F.col("b.single").cast("int")).alias("singles"))
-    compared = _compared(met.where("n >= m").select("x", "y", "singles"), base, several, classes)
-    links = links.unionByName(_linked(compared))
+    named = F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("first")
+    # One row for each class: the smallest id, then the smallest text hash.
+    least = full.groupBy("node").agg(F.min("id").alias("id"), named)
+    reps = full.join(least, ["node", "id"]).groupBy("node", "id", "first").agg(F.min("body").alias("body"))
+    reps = written(reps, "classes")
+    rows = full.groupBy("id", "body", "node").agg(F.count("*").alias("n"))
+    repeated = written(rows.where("n > 1").select("id", "body"), "repeated")
+    copies = written(rows.select("id", "body").join(reps.select("id", "body"), ["id", "body"], "left_anti"), "copies")
+    texts = _Texts(base, reps, repeated)
+
+    entries = written(_prefixes(texts.of(copies, "left_anti"), heavy), "prefixes")
+    links, active = merge(entries, lambda pairs: _linked(texts.compared(pairs)), _alike("size", "other.size"))
+    links = written(links, "star-links")
+    stars = links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("star"))
+
+    # The members of a star are one, and pairs are made of stars of different components. A member is
+    # within distance 0.2 of its centre, so two stars can only hold a link if their centres are
+    # within 0.6, and a star and a single class if they are within 0.4 (the triangle inequality).
+    active = active.join(stars, "node", "left").withColumn("single", (F.col("component") == F.col("node")) & F.col("star").isNull())
+    active = written(active.withColumn("star", F.coalesce("star", "node")).select("key", "node", "size", "m", "component", "star", "single"), "stars")
+    groups = active.groupBy("key", "star", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"), F.min("single").alias("single"))
+    met = groups.alias("a").join(groups.alias("b"), F.expr("a.key = b.key AND a.star < b.star AND a.component <> b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
+    met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min(F.col("a.single").cast("int") + F.col("b.single").cast("int")).alias("singles"), F.min("a.component").alias("cx"), F.min("b.component").alias("cy"))
+    compared = texts.compared(written(met.where("n >= m").select("x", "y", "cx", "cy", "singles"), "star-pairs"))
+    new = _linked(compared)
+    links = links.unionByName(new.select("x", "y"))
     wide = compared.where("singles < 2 AND 100 * shared < 80 * union AND 10 * shared >= CASE singles WHEN 1 THEN 6 ELSE 4 END * union")
-    wide = written(wide.select(F.col("x").alias("sa"), F.col("y").alias("sb")).distinct(), "wide")
-    left = entries.join(_short(wide), F.col("star") == F.col("sa")).select("sb", "token", F.col("cls").alias("x"), F.col("size").alias("sx"), F.col("m").alias("mx"))
-    right = entries.select(F.col("star").alias("sb"), "token", F.col("cls").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
-    pairs = left.join(right, ["sb", "token"]).where(_alike("sx", "sy"))
+    joined = connected(new.select("cx", "cy"))
+    for c in ("cx", "cy"):
+        wide = wide.join(short(joined.toDF(c, f"{c}_joined"), 32), c, "left").withColumn(c, F.coalesce(f"{c}_joined", c)).drop(f"{c}_joined")
+    wide = written(wide.where("cx <> cy").select(F.col("x").alias("sa"), F.col("y").alias("sb")).distinct(), "wide")
+    left = active.join(short(wide, 32), F.col("star") == F.col("sa")).select("sb", "key", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("m").alias("mx"))
+    right = active.select(F.col("star").alias("sb"), "key", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
+    pairs = left.join(right, ["sb", "key"]).where(_alike("sx", "sy"))
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("m")).where("n >= m").select("x", "y")
-    links = links.unionByName(_linked(_compared(pairs, base, several, classes)))
+    links = links.unionByName(_linked(texts.compared(written(pairs, "pairs"))))
     found = connected(links)
 
     # Components are named by the smallest id in them.
-    told = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
-    told = told.select("cls", "group").join(told.groupBy("group").agg(F.min("first").alias("component")), "group").select("cls", "group", "component")
-    out = members.join(told, "cls").select("id", "body", "size", F.col("first").alias("cls"), "component", "group")
-    out = out.unionByName(profiles.where("size = 0").select("id", "body", "size", F.col("id").alias("cls"), F.col("id").alias("component"), F.lit(None).cast("long").alias("group")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), real("component").alias("component_id"), real("cls").alias("class_id"), "body", F.col("group").alias("group_id"))
+    told = reps.select("node", "first").join(short(found, 32), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = told.groupBy("group").agg(F.min("first").alias("smallest"))
+    told = written(told.join(least, "group").select("node", "group", F.col("first").alias("class_id"), "smallest"), "components")
+    out = full.join(short(told, 48), "node").select("id", "body", "size", "class_id", "smallest", "group")
+    real = F.when(F.col("id") != NO_ID, F.col("id"))
+    out = out.unionByName(profiles.where("size = 0").select("id", "body", "size", real.alias("class_id"), real.alias("smallest"), F.lit(None).cast("long").alias("group")))
+    return out.select(real.alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.col("smallest").alias("component_id"), "class_id", "body", F.col("group").alias("group_id"))

@@ -95,7 +95,7 @@ def test_on_table(spark):
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "one two three"), (3, "one two three"), (3, "one two three"), (4, None), (5, " "), (None, None)]
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 1, -1), (3, 1, -1), (3, 1, -1), (4, 0, 4), (5, 0, 5)]
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 1, 3), (3, 1, 3), (3, 1, 3), (4, 0, 4), (5, 0, 5)]
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -107,5 +107,34 @@ def test_one_id_with_different_texts(spark):
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets = {len(brute_set(t)) for _, t in rows}
     assert len(got) == len(rows) and {r.n_shingles for r in got} == sets
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (3, 3), (5, 3), (5, 5), (7, 5), (9, -1)]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 9), (3, 3), (5, 3), (5, 5), (7, 5), (9, 9)]
     assert all(r.class_id == r.doc_id for r in got if r.doc_id in (7, 9))
+
+
+def test_links_of_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = ([f"{n}{rng.randrange(900)}" for _ in range(60)] for n in "abcd")
+    text, near = " ".join, lambda words: " ".join([*words, "more"])
+    told = lambda rows: sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert told([(3, text(a)), (5, text(a)), (5, text(b)), (9, near(b))]) == [(3, 56, 3), (5, 56, 3), (5, 56, 5), (9, 57, 5)]
+    assert told([(None, text(a)), (7, text(a))]) == [(-1, 56, 7), (7, 56, 7)]
+    assert told([(None, text(c)), (None, text(d)), (7, near(c)), (8, near(d))]) == [(-1, 56, 7), (-1, 56, 8), (7, 57, 7), (8, 57, 8)]
+    # A third of the rows equal in id and text.
+    assert told([(4, text(a))] * 30 + [(2, near(a))] + [(n, text(b)) for n in range(10, 40)]) == [(2, 57, 2)] + [(4, 56, 2)] * 30 + [(n, 56, 10) for n in range(10, 40)]
+
+
+def test_chain_and_cluster_without_centre(spark):
+    """Links that no representative shows: a chain of drifting copies, and variants of a text that is not there."""
+    rng = random.Random(9)
+    rows, words = [], [f"v{rng.randrange(2000)}" for _ in range(80)]
+    for n in range(25):
+        rows.append((n, " ".join(words)))
+        words = [*words[5:], *[f"v{rng.randrange(2000)}" for _ in range(5)]]
+    base = [f"w{rng.randrange(2000)}" for _ in range(120)]
+    for n in range(100, 180):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(2000)}"
+        rows.append((n, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
