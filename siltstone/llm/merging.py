@@ -35,12 +35,11 @@ def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike:
 
     `entries` has key, node, `least` (so many buckets must agree on a pair before it is compared in a
     round), `score` (nodes of high score are compared first; both only change cost) and maybe `size` and
-    `at`, which `alike`, an SQL condition, may name, also as `other.size` and `other.at`. `compare` returns the rows of its argument (x, y, cx, cy) that are linked.
+XX
     """
-    spark = entries.sparkSession
     extra = [c for c in entries.columns if c not in ("key", "node")]
     active = entries.withColumn("component", F.col("node"))
-    links = spark.createDataFrame([], "x long, y long")
+    links: DataFrame | None = None
     held: DataFrame | None = None
     for number in range(MOST_ROUNDS):
         seeds = range(PICKS * number, PICKS * number + PICKS)
@@ -60,13 +59,13 @@ def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike:
         met = met.where("n >= least").groupBy("node", "pick").agg(F.max_by(F.struct("y", "cx", "cy"), F.struct("n", "y")).alias("b"))
         met = written(met.select(F.col("node").alias("x"), "b.y", "b.cx", "b.cy").distinct(), "near")
         tried = met.count()
-        if not tried:
+        if not tried and links is not None:
             break
         new = written(compare(met), "new-links")
         made = new.count()
+        links = new.drop("cx", "cy") if links is None else links.unionByName(new.drop("cx", "cy"))
         if not made:
             break
-        links = links.unionByName(new.select("x", "y"))
         joined = connected(new.select("cx", "cy")).withColumnRenamed("component", "joined")
         active = _moved(active, joined)
         if made * SLOW < tried:

@@ -15,7 +15,8 @@ Large groups of near copies are never expanded into pairs. Rounds (`merging`) ve
 classes that stand for its tokens and join what is linked. What is left is made into pairs of stars (a
 class and what was linked to it first) of different components; stars are compared by their centres
 and opened only where the triangle inequality leaves room for a link and no link has joined their
-components meanwhile; all links are verified on whole sets.
+components meanwhile. An opened star is compared in blocks, which yield links and not pairs. All links
+are verified on whole sets.
 
 Defined cases: null, empty and blank texts have no set and are their own component; rows of one id
 are compared each with its own text and report the component of that text; a component is named by
@@ -51,6 +52,8 @@ NO_ID = -(2**63)
 COUNT_TOKENS = 2_000_000
 #: Rows that a task sends on at once.
 SEND_ROWS = 200_000
+#: Classes in a block when stars are opened.
+BLOCK = 64
 #: Frequent tokens are counted in so many parts each.
 SALTS = 64
 
@@ -188,19 +191,56 @@ class _Texts:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) with the sizes of intersection and union of their whole sets."""
+        """The pairs (x, y) with the sizes of their whole sets (nx, ny), and of intersection and union."""
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
         found = written(self.reps.join(short(written(wanted, "wanted"), 16), "node", "left_semi").select("id", "body"), "wanted-texts")
         sets = written(self.of(found).mapInArrow(_sets, "node long, tokens array<long>"), "sets")
         one, two = sets.toDF("x", "tx"), sets.toDF("y", "ty")
         both = short(pairs, 48).join(one, "x").join(two, "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")).cast("long"))
-        out = written(both.select(*pairs.columns, "shared", (F.size("tx") + F.size("ty") - F.col("shared")).alias("union")), "compared")
+        both = both.select(*pairs.columns, "shared", F.size("tx").alias("nx"), F.size("ty").alias("ny"))
+        out = written(both.withColumn("union", F.col("nx") + F.col("ny") - F.col("shared")), "compared")
         discard(sets, found)
         return out
 
 
+    def opened(self, lone: DataFrame, members: DataFrame) -> DataFrame:
+        """Links (x, y) between the classes of `lone` and of `members` that have the same `star`."""
+        members = members.join(short(written(lone.select("star").distinct(), "opened"), 16), "star", "left_semi")
+        wanted = written(lone.select("node").unionByName(members.select("node")).distinct(), "wanted")
+        found = written(self.reps.join(short(wanted, 16), "node", "left_semi").select("id", "body"), "wanted-texts")
+        sets = written(self.of(found).mapInArrow(_sets, "node long, tokens array<long>"), "sets")
+
+        def blocks(rows: DataFrame, side: str) -> DataFrame:
+            sizes = rows.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+            rows = rows.join(sizes, "star").select("star", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node").join(sets, "node")
+            rows = rows.groupBy("star", "block").agg(F.collect_list(F.struct("node", "tokens")).alias("rows"))
+            return written(rows.select("star", F.col("rows.node").alias(f"nodes{side}"), F.col("rows.tokens").alias(f"tokens{side}")), f"blocks-{side}")
+
+        met = blocks(lone, "x").join(blocks(members, "y"), "star").drop("star")
+        return written(met.mapInArrow(_block_links, "x long, y long").distinct(), "block-links")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The linked pairs of two blocks of sets, block by block."""
+    for batch in batches:
+        xs, ys = [], []
+        for nx, tx, ny, ty in zip(*(batch.column(c) for c in ("nodesx", "tokensx", "nodesy", "tokensy"))):
+            ty, names = ty.values, ny.values.to_numpy()
+            sizes = ty.value_lengths().to_numpy()
+            flat, owner = ty.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            for name, own in zip(nx.values.to_numpy(), tx.values):
+                own = np.sort(own.values.to_numpy())
+                found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                shared = np.bincount(owner[found], minlength=len(sizes))
+                linked = (100 * shared >= 80 * (len(own) + sizes - shared)) & (names != name)
+                ys.append(names[linked])
+                xs.append(np.full(int(linked.sum()), name))
+        flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in flat], ["x", "y"])
+
+
 def _linked(compared: DataFrame) -> DataFrame:
-    return compared.where("100 * shared >= 80 * union").drop("shared", "union")
+    return compared.where("100 * shared >= 80 * union")
 
 
 def _alike(a: str, b: str) -> str:
@@ -246,31 +286,36 @@ def components(docs: DataFrame) -> DataFrame:
     texts = _Texts(base, reps, repeated)
 
     entries = written(_prefixes(texts.of(copies, "left_anti"), heavy), "prefixes")
-    links, active = merge(entries, lambda pairs: _linked(texts.compared(pairs)), _alike("size", "other.size"))
+    links, active = merge(entries, lambda pairs: _linked(texts.compared(pairs)).drop("ny", "union"), _alike("size", "other.size"))
     links = written(links, "star-links")
-    stars = links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("star"))
+    members = links.groupBy(F.col("x").alias("node")).agg(F.min(F.struct("y", "shared", "nx")).alias("s"))
+    members = members.select("node", F.col("s.y").alias("star"), F.col("s.shared").alias("shared"), F.col("s.nx").alias("size"))
+    members = written(members, "members")
 
-    # The members of a star are one, and pairs are made of stars of different components. A member is
-    # within distance 0.2 of its centre, so two stars can only hold a link if their centres are
-    # within 0.6, and a star and a single class if they are within 0.4 (the triangle inequality).
-    active = active.join(stars, "node", "left").withColumn("single", (F.col("component") == F.col("node")) & F.col("star").isNull())
-    active = written(active.withColumn("star", F.coalesce("star", "node")).select("key", "node", "size", "m", "component", "star", "single"), "stars")
+    # The members of a star are one, and pairs are made of stars of different components, by their centres.
+    active = active.join(members.select("node", "star"), "node", "left").withColumn("single", (F.col("component") == F.col("node")) & F.col("star").isNull())
+    active = written(active.withColumn("star", F.coalesce("star", "node")).select("key", "size", "m", "component", "star", "single"), "stars")
     groups = active.groupBy("key", "star", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("m").alias("m"), F.min("single").alias("single"))
     met = groups.alias("a").join(groups.alias("b"), F.expr("a.key = b.key AND a.star < b.star AND a.component <> b.component AND 5 * a.high >= 4 * b.low AND 5 * b.high >= 4 * a.low"))
-    met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min(F.col("a.single").cast("int") + F.col("b.single").cast("int")).alias("singles"), F.min("a.component").alias("cx"), F.min("b.component").alias("cy"))
-    compared = texts.compared(written(met.where("n >= m").select("x", "y", "cx", "cy", "singles"), "star-pairs"))
-    new = _linked(compared)
-    links = links.unionByName(new.select("x", "y"))
-    wide = compared.where("singles < 2 AND 100 * shared < 80 * union AND 10 * shared >= CASE singles WHEN 1 THEN 6 ELSE 4 END * union")
-    joined = connected(new.select("cx", "cy"))
+    met = met.groupBy(F.col("a.star").alias("x"), F.col("b.star").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("a.m", "b.m")).alias("m"), F.min("a.single").alias("lonex"), F.min("b.single").alias("loney"), F.min("a.component").alias("cx"), F.min("b.component").alias("cy"))
+    compared = texts.compared(written(met.where("n >= m").drop("n", "m"), "star-pairs"))
+    links = links.select("x", "y").unionByName(_linked(compared).select("x", "y"))
+
+    # Opened are stars of components that no link has joined meanwhile. By the triangle inequality two stars
+    # can only hold a link if their centres are within distance 0.6 (members are within 0.2 of them), and a
+    # class and a star if class and centre are within 0.4; so one star's members first meet the other's centre.
+    joined = connected(_linked(compared).select("cx", "cy"))
     for c in ("cx", "cy"):
-        wide = wide.join(short(joined.toDF(c, f"{c}_joined"), 32), c, "left").withColumn(c, F.coalesce(f"{c}_joined", c)).drop(f"{c}_joined")
-    wide = written(wide.where("cx <> cy").select(F.col("x").alias("sa"), F.col("y").alias("sb")).distinct(), "wide")
-    left = active.join(short(wide, 32), F.col("star") == F.col("sa")).select("sb", "key", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("m").alias("mx"))
-    right = active.select(F.col("star").alias("sb"), "key", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("m").alias("my"))
-    pairs = left.join(right, ["sb", "key"]).where(_alike("sx", "sy"))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("m")).where("n >= m").select("x", "y")
-    links = links.unionByName(_linked(texts.compared(written(pairs, "pairs"))))
+        compared = compared.join(short(joined.toDF(c, f"{c}_joined"), 32), c, "left").withColumn(c, F.coalesce(f"{c}_joined", c)).drop(f"{c}_joined")
+    wide = written(compared.where("cx <> cy AND NOT (lonex AND loney) AND 10 * shared >= 4 * union"), "wide")
+    near = "10 * shared >= 6 * union"
+    centre = wide.where("NOT loney").where(near).select(F.col("x").alias("node"), F.col("y").alias("star"))
+    centre = centre.unionByName(wide.where("loney").where(near).select(F.col("y").alias("node"), F.col("x").alias("star")))
+    both = wide.where("NOT lonex AND NOT loney").select(F.col("x").alias("star"), "y")
+    both = texts.compared(written(members.join(short(both, 32), "star").select(F.col("node").alias("x"), "y"), "member-pairs"))
+    links = links.unionByName(_linked(both).select("x", "y"))
+    known = centre.unionByName(both.where("100 * shared < 80 * union").where(near).select(F.col("x").alias("node"), F.col("y").alias("star"))).distinct()
+    links = links.unionByName(texts.opened(written(known, "known"), members.select("node", "star")))
     found = connected(links)
 
     # Components are named by the smallest id in them.
