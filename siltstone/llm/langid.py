@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 UNDETERMINED = "und"
 ROUNDS = 4
-#: Longer words are summed in logarithms, one by one, as their probabilities underflow.
+#: Longer words are scored in logarithms, one by one, as their probabilities underflow.
 LONG_WORD = 24
 CACHE_WORDS = 400_000
 
@@ -115,10 +115,14 @@ def backward(arcs: tuple, sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def learn(lattice: Lattice, words: list[str], counts: np.ndarray, smoothing: float = 0.05) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over its word counts."""
+    """Piece probabilities of one language by expectation maximisation over its word counts.
+
+    A word of more than LONG_WORD letters is learned from in stretches of so many.
+    """
     size = lattice.unknown + 1
-    short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-    words, counts = [words[i] for i in short], counts[short]
+    cuts = [[w[k : k + LONG_WORD] for k in range(0, len(w), LONG_WORD)] for w in words]
+    counts = np.repeat(counts, [len(c) for c in cuts]) if words else counts
+    words = [part for c in cuts for part in c]
     p = np.full((size, 1), 1 / size)
     if not words:
         return p[:, 0]

@@ -28,7 +28,7 @@ from siltstone.llm.folds import fold, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 4, 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 @dataclass
@@ -76,21 +76,29 @@ def grams_of(word: str) -> list[str]:
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many clean and toxic texts each n-gram is."""
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        words: tuple[Counter, Counter] = (Counter(), Counter())
+        own: dict[str, set[str]] = {}
         for text, label in zip(batch["text"], batch["toxic"]):
-            words[int(label)].update(set(WORD.findall(text.lower())))
-        for label in (0, 1):
-            for word, n in words[label].items():
-                for gram in set(grams_of(word)):
-                    counts[label][gram] += n
-        for label in (0, 1):
-            yield pd.DataFrame({"gram": list(counts[label]), "clean": [n * (1 - label) for n in counts[label].values()], "toxic": [n * label for n in counts[label].values()]})
-
-
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = 2500, max_features: int = 4000, penalty: float = 1e-3) -> Model:
-    """Fit on at most about `max_rows` labelled texts a class, of the rows of `labels` for which `keep` holds."""
+            found: set[str] = set()
+            for word in set(WORD.findall(text.lower())):
+                if word not in own:
+                    own[word] = set(grams_of(word))
+                found |= own[word]
+            counts[int(label)].update(found)
+        grams = list(counts[0].keys() | counts[1].keys())
+        if grams:  # Arrow makes no record of a frame without rows
+            yield pd.DataFrame({"gram": grams, "clean": [counts[0][g] for g in grams], "toxic": [counts[1][g] for g in grams]})
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = 2500, max_features: int = 4000, min_texts: int = 3, min_z: float = 4.5, min_ratio: float = 0.7, penalty: float = 1e-3) -> Model:
+    """Fit on at most about `max_rows` toxic and twice as many clean texts, of the rows of `labels` for which `keep` holds.
+
+    Features are the `max_features` n-grams whose shares in the classes differ by most standard
+    deviations, of those in at least `min_texts` texts with `min_z` deviations and a log ratio of
+    `min_ratio`. If few labels let none pass, the n-grams that differ most are taken without these two.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if keep is not None:
         known = known.where(keep)
@@ -112,8 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows
         pooled = (F.col("toxic") + F.col("clean")) / (n1 + n0)
         deviation = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
         z = (F.col("toxic") / max(n1, 1) - F.col("clean") / max(n0, 1)) / deviation
-        counted = counted.where("clean + toxic >= 3").select("gram", F.log(p / q).alias("ratio"), z.alias("z"))
-        top = counted.where("abs(z) >= 4.5 AND abs(ratio) >= 0.7").orderBy(F.abs("z").desc(), "gram").limit(max_features).collect()
+        counted = counted.where(F.col("clean") + F.col("toxic") >= min(min_texts, n1 + n0)).select("gram", F.log(p / q).alias("ratio"), z.alias("z"))
+        passing = (F.abs("z") >= min_z) & (F.abs("ratio") >= min_ratio)
+        top = counted.orderBy(passing.desc(), F.abs("z").desc(), "gram").limit(max_features).select("gram", "ratio", passing.alias("passing")).collect()
+        if any(r["passing"] for r in top):
+            top = [r for r in top if r["passing"]]
         grams, ratios = [r["gram"] for r in top], np.array([r["ratio"] for r in top])
         model = Model(grams, np.zeros(len(grams)), 0.0)
         if not grams:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstone.llm import langid, quality, toxicity
 
@@ -93,6 +94,36 @@ def test_toxic_stems_are_found_in_held_out_documents(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_toxic_counts_equal_brute_force_over_many_partitions(spark):
+    rows, labels = toxic_corpus(60)
+    truth = {d: y for d, y, _ in labels}
+    frame = spark.createDataFrame([(t, truth[d]) for d, t, _ in rows], "text string, toxic int").repartition(60)
+    got = frame.mapInPandas(toxicity._gram_counts, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    want: dict = {}
+    for d, text, _ in rows:
+        for gram in {g for w in text.split() for g in toxicity.grams_of(w)}:
+            want.setdefault(gram, [0, 0])[truth[d]] += 1
+    assert {r.gram: [r.clean, r.toxic] for r in got.collect()} == want
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(60)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, text string").repartition(30)
+    assert toxicity.toxicity_query(docs, marks).count() == 60
+
+
+def test_few_labels_still_make_features(spark):
+    rows = [(1, "zork zork plain"), (2, "plain words"), (3, "zork again"), (4, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int"), min_texts=1)
+    assert model.score("a zork here") > model.score("words here")
+
+
+def test_language_of_long_letter_runs(spark):
+    rng = random.Random(2)
+    run = lambda letters: "".join(rng.choice(letters) for _ in range(400))
+    docs = spark.createDataFrame([(n, run("aeioumn"), "xx") for n in range(40)] + [(n, run("krtszgd"), "yy") for n in range(40, 80)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, VOCAB)
+    assert model.predict([run("aeioumn"), run("krtszgd")])[0] == ["xx", "yy"]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, "x" * 10000)], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
