@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
+from siltstone.functions.values import ascii_json
 
 #: Hosts of job boards and their providers (fixed values).
 HOSTS = {
@@ -68,5 +69,5 @@ def endpoint(url: Column | str) -> Column:
 
 
 def job_post_id(who: Column, employer: Column, job_id: Column) -> Column:
-    """sha256 of the compact JSON list of provider, employer and job id (ASCII)."""
-    return F.sha2(F.to_json(F.array(who, employer, job_id)), 256)
+    """sha256 of the compact JSON list of provider, employer and job id, all but ASCII escaped; null if one is."""
+    return F.sha2(F.concat(F.lit("["), ascii_json(who), F.lit(","), ascii_json(employer), F.lit(","), ascii_json(job_id), F.lit("]")), 256)

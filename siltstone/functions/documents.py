@@ -178,14 +178,25 @@ def robots_allow(status: int | None, body: str | None, agent: str, url: str) ->
     return rules.can_fetch(agent, url)
 
 
+def _origin(url: str) -> tuple | None:
+    """Scheme, host and effective port; null if the address has none."""
+    try:
+        split = urlsplit(url)
+        port = split.port
+    except ValueError:
+        return None
+    usual = {"http": 80, "https": 443}.get(split.scheme)
+    return (split.scheme, split.hostname, port or usual) if usual and split.hostname else None
+
+
 def robots_sitemaps(body: str | None, origin: str) -> list[str]:
-    """Addresses of the `Sitemap:` lines of a robots file, in order."""
+    """Addresses of the `Sitemap:` lines of a robots file, in order; those of other origins are left out."""
     found = []
     for line in (body or "").splitlines():
         name, colon, value = line.partition(":")
         if colon and name.strip().lower() == "sitemap":
             found.append(urljoin(origin, value.strip()))
-    return found
+    return [url for url in found if _origin(url) is not None and _origin(url) == _origin(origin)]
 
 
 def parse_sitemap(payload: bytes | None, url: str) -> dict | None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import urls
 from siltstone.scratch import written
 
 SITEMAP_DOCUMENTS = 10
@@ -60,3 +61,19 @@ def sitemap_walk(sitemaps: DataFrame, seeds: DataFrame, limit: int = SITEMAP_DOC
             break
         seen = written(seen.unionByName(frontier), "sitemaps-seen")
     return seen
+
+
+def sitemap_pages(found: DataFrame, limit: int | None) -> DataFrame:
+    """Pages of sitemaps that may be crawled: root, url and rank, each once, in order of first place.
+
+    `found` has root, loc and pos (place in the walk). Locations are made canonical; those of skipped
+    suffixes, other origins or paths outside the root's go. `limit` bounds the pages of a root; a limit
+    below one gives none.
+    """
+    rows = found.withColumn("url", urls.canonicalise("loc")).where(F.col("url").isNotNull() & urls.within_root("url", "root"))
+    rows = rows.groupBy("root", "url").agg(F.min("pos").alias("pos"))
+    if limit is not None and limit < 1:
+        rows = rows.where("false")
+    rank = F.row_number().over(W.partitionBy("root").orderBy("pos", "url"))
+    rows = rows.select("root", "url", rank.alias("rank"))
+    return rows if limit is None else rows.where(F.col("rank") <= limit)

@@ -16,7 +16,7 @@ TERMINAL = (COMPLETED, FAILED)
 MAX_CHILDREN_ATTEMPTS = 2
 ERROR_CHARS = 1000
 #: Errors that end a page at once (fixed values).
-TERMINAL_ERRORS = ("CrawlMessageError", "UnsafeUrlError", "RobotsDisallowedError", "UnsupportedContentError", "PageNotFoundError")
+TERMINAL_ERRORS = ("PageNotFoundError", "ResponseTooLargeError", "RobotsDeniedError", "UnsafeUrlError", "UnsupportedContentTypeError")
 
 
 def count_of(name: str) -> Column:

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for module in ("crawl", "ledger", "jobs", "streams"):
+    for module in ("crawl", "ledger", "jobs", "streams", "discovery"):
         importlib.import_module(f"siltstone.plans.{module}")
 
 

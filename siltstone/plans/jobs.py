@@ -90,34 +90,34 @@ def q38_api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.matched_payloads(wanted, responses).select("url", "result")
 
 
-_LINKS = "SELECT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst, l_orderkey * 10 + l_linenumber AS pos FROM {src} WHERE l_linenumber <= 3 UNION ALL SELECT concat('p', CAST(l_partkey AS VARCHAR(20))), concat('s', CAST(l_suppkey AS VARCHAR(20))), l_orderkey * 10 + l_linenumber FROM {src} WHERE l_linenumber = 4"
+_LINKS = "SELECT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst, l_orderkey * 10 + l_linenumber AS pos FROM {src} UNION ALL SELECT concat('p', CAST(l_partkey AS VARCHAR(20))), concat('s', CAST(l_suppkey AS VARCHAR(20))), l_orderkey * 10 + l_linenumber FROM {src}"
 FRONTIER_DEPTH, FRONTIER_LINKS = 4, 3
 
 
 @query(
     "q23_bfs_frontier",
     f"""WITH RECURSIVE l AS ({_LINKS.replace('{src}', 'lineitem')}), d AS (SELECT src, dst, min(pos) AS pos FROM l GROUP BY 1, 2), k AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS n FROM d) WHERE n <= {FRONTIER_LINKS}),
-    walk AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN k ON src = node WHERE depth < {FRONTIER_DEPTH})
+    walk AS (SELECT 's' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 0 UNION SELECT dst, depth + 1 FROM walk JOIN k ON src = node WHERE depth < {FRONTIER_DEPTH})
     SELECT node, min(depth) AS depth FROM walk GROUP BY node""",
 )
 def q23_bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = spark.sql(_LINKS, src=table(spark, sf_dir, "lineitem"))
-    roots = spark.createDataFrame([("s1",)], "node string")
+    roots = table(spark, sf_dir, "supplier").where("s_nationkey = 0").selectExpr("concat('s', s_suppkey) AS node")
     return frontier.traverse(links, roots, FRONTIER_DEPTH, per_page=FRONTIER_LINKS)
 
 
 @query(
     "q24_sitemap_walk",
-    """WITH RECURSIVE m AS (SELECT 'm' || p_partkey AS url, 'm' || (p_partkey * 3 + k) AS child, k FROM part, (SELECT unnest([1, 2, 3]) AS k) WHERE p_partkey < 200 AND p_partkey % 4 <> 3),
-    w AS (SELECT c_custkey AS root, ['m' || (c_custkey % 20 + 1), 'm' || (c_custkey % 7 + 1)] AS q FROM customer WHERE c_custkey <= 50),
+    """WITH RECURSIVE m AS (SELECT 'm' || p_partkey AS url, 'm' || (p_partkey * 3 + k) AS child, k FROM part, (SELECT unnest([1, 2, 3]) AS k)),
+    w AS (SELECT c_custkey AS root, ['m' || (c_custkey % 20 + 1), 'm' || (c_custkey % 7 + 1)] AS q FROM customer),
     d AS (SELECT root, list_distinct_ordered AS q, 1 AS i FROM (SELECT root, CASE WHEN q[1] = q[2] THEN [q[1]] ELSE q END AS list_distinct_ordered FROM w)
       UNION ALL SELECT root, list_concat(q, coalesce((SELECT list(child ORDER BY k) FROM m WHERE m.url = d.q[d.i] AND NOT list_contains(d.q, child)), [])), i + 1 FROM d WHERE i <= least(len(q), 10)),
     z AS (SELECT root, q, row_number() OVER (PARTITION BY root ORDER BY i DESC) AS n FROM d)
     SELECT root, u.url AS url, CAST(u.visit AS INTEGER) AS visit FROM (SELECT root, unnest(list_transform(range(1, least(len(q), 10) + 1), lambda v: {'url': q[v], 'visit': v})) AS u FROM z WHERE n = 1)""",
 )
 def q24_sitemap_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey < 200 AND p_partkey % 4 <> 3")
+    part = table(spark, sf_dir, "part")
     sitemaps = part.selectExpr("concat('m', p_partkey) AS url", "true AS is_index", "transform(array(1, 2, 3), k -> concat('m', p_partkey * 3 + k)) AS locs")
-    customers = table(spark, sf_dir, "customer").where("c_custkey <= 50")
+    customers = table(spark, sf_dir, "customer")
     seeds = customers.selectExpr("c_custkey AS root", "posexplode(array(concat('m', c_custkey % 20 + 1), concat('m', c_custkey % 7 + 1))) AS (pos, url)")
     return frontier.sitemap_walk(sitemaps, seeds)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import values
 from siltstone.operators import ledger, merge
 from siltstone.plans import sqlkit as K
 from siltstone.plans.catalogue import query
@@ -124,13 +125,13 @@ def q18_claim_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q19_retry_or_fail",
-    f"""WITH e AS (SELECT *, CASE page_id % 4 WHEN 0 THEN 'UnsafeUrlError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'LockBusyError' END AS error_class, repeat('x', CAST(page_id % 1500 AS INT)) AS message FROM {P}),
-    o AS (SELECT *, CASE WHEN error_class IS NULL THEN 'finish' WHEN error_class = 'UnsafeUrlError' OR {_EXHAUSTED} THEN 'fail' ELSE 'retry' END AS outcome FROM e)
+    f"""WITH e AS (SELECT *, CASE page_id % 9 WHEN 0 THEN 'UnsafeUrlError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'LockBusyError' WHEN 3 THEN 'PageNotFoundError' WHEN 4 THEN 'ResponseTooLargeError' WHEN 5 THEN 'RobotsDeniedError' WHEN 6 THEN 'UnsupportedContentTypeError' WHEN 7 THEN 'CrawlMessageError' END AS error_class, repeat('x', CAST(page_id % 1500 AS INT)) AS message FROM {P}),
+    o AS (SELECT *, CASE WHEN error_class IS NULL THEN 'finish' WHEN error_class IN ('PageNotFoundError', 'ResponseTooLargeError', 'RobotsDeniedError', 'UnsafeUrlError', 'UnsupportedContentTypeError') OR {_EXHAUSTED} THEN 'fail' ELSE 'retry' END AS outcome FROM e)
     SELECT page_id, outcome, CASE outcome WHEN 'finish' THEN 'COMPLETED' WHEN 'fail' THEN 'FAILED' ELSE status END AS status, CASE WHEN error_class IS NOT NULL THEN substr(message, 1, 1000) END AS last_error,
     CASE WHEN outcome = 'retry' THEN '{NOW}' END AS lease_expires_at, CASE WHEN outcome = 'retry' AND error_class = 'LockBusyError' AND children_attempt_count > 0 THEN children_attempt_count - 1 ELSE children_attempt_count END AS children_attempt_count FROM o""",
 )
 def q19_retry_or_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("CASE page_id % 4 WHEN 0 THEN 'UnsafeUrlError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'LockBusyError' END")
+    kind = F.expr("CASE page_id % 9 WHEN 0 THEN 'UnsafeUrlError' WHEN 1 THEN 'TimeoutError' WHEN 2 THEN 'LockBusyError' WHEN 3 THEN 'PageNotFoundError' WHEN 4 THEN 'ResponseTooLargeError' WHEN 5 THEN 'RobotsDeniedError' WHEN 6 THEN 'UnsupportedContentTypeError' WHEN 7 THEN 'CrawlMessageError' END")
     rows = K.relation(spark, sf_dir, "crawl_pages").withColumn("error_class", kind).withColumn("message", F.when(kind.isNotNull(), F.repeat(F.lit("x"), (F.col("page_id") % 1500).cast("int"))))
     rows = rows.withColumn("outcome", ledger.outcome(F.col("error_class"), MAX_ATTEMPTS))
     done, again = ledger.finish(F.col("message")), ledger.retry(F.col("message"), NOW, EXPIRES, F.col("error_class") == "LockBusyError")
@@ -250,42 +251,22 @@ def q27_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "parent_url", body.alias("body"), (30 * (F.col("page_id") % 3)).alias("delay"))
 
 
-#: Blocks of IPv4 addresses that are not global (fixed values, from the public registry).
-PRIVATE_V4 = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
-    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
-)
 
 
-def _blocks() -> list[tuple[int, int]]:
-    out = []
-    for address, bits in PRIVATE_V4:
-        start = sum(int(p) << (24 - 8 * i) for i, p in enumerate(address.split(".")))
-        out.append((start, start + (1 << (32 - bits)) - 1))
-    return out
-
-
-_IP = "concat(CAST({n} % 256 AS VARCHAR(20)), '.', CAST(CAST(floor({n} / 7) AS INT) % 256 AS VARCHAR(20)), '.', CAST({n} % 3 AS VARCHAR(20)), '.', CAST({n} % 251 AS VARCHAR(20)))".replace("{n}", "(l_orderkey * 37 + l_linenumber)")
+_IP = """CASE l_orderkey % 97 WHEN 5 THEN '192.0.0.9' WHEN 6 THEN NULL WHEN 7 THEN '2001:4860::1' WHEN 8 THEN '8.8.8' WHEN 9 THEN '8.8.8.256' WHEN 11 THEN '192.0.0.10' WHEN 12 THEN '192.0.0.11'
+  ELSE concat(CAST({n} % 256 AS VARCHAR(20)), '.', CAST(CAST(floor({n} / 7) AS INT) % 256 AS VARCHAR(20)), '.', CAST({n} % 3 AS VARCHAR(20)), '.', CAST({n} % 251 AS VARCHAR(20))) END""".replace("{n}", "(l_orderkey * 37 + l_linenumber)")
+_PARTS = [f"TRY_CAST(string_split(ip, '.')[{k}] AS BIGINT)" for k in range(1, 5)]
 
 
 @query(
     "q28_public_ipv4",
-    f"""WITH i AS (SELECT l_orderkey % 500 AS host, {_IP} AS ip FROM lineitem), v AS (SELECT host, ip, CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(ip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT) AS v FROM i)
-    SELECT host, count(*) AS addresses, bool_and(NOT ({' OR '.join(f'v BETWEEN {a} AND {b}' for a, b in _blocks())})) AS allowed FROM v GROUP BY host""",
+    f"""WITH i AS (SELECT l_orderkey % 500 AS host, {_IP} AS ip FROM lineitem),
+    v AS (SELECT host, ip, CASE WHEN len(string_split(ip, '.')) = 4 AND {' AND '.join(f'{p} BETWEEN 0 AND 255' for p in _PARTS)} THEN {_PARTS[0]} * 16777216 + {_PARTS[1]} * 65536 + {_PARTS[2]} * 256 + {_PARTS[3]} END AS v FROM i)
+    SELECT host, count(*) AS addresses, bool_and(CASE WHEN v IS NULL THEN false WHEN ip IN ('192.0.0.9', '192.0.0.10') THEN true ELSE NOT ({' OR '.join(f'v BETWEEN {a} AND {b}' for a, b in values.private_ranges())}) END) AS allowed FROM v GROUP BY host""",
 )
 def q28_public_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT l_orderkey % 500 AS host, {_IP} AS ip FROM {{src}}", src=table(spark, sf_dir, "lineitem"))
-    return rows.groupBy("host").agg(F.count("*").alias("addresses"), F.bool_and(is_global_v4(F.col("ip"))).alias("allowed"))
-
-
-def is_global_v4(ip):
-    """True for an IPv4 address outside the blocks that are not global."""
-    p = F.split(ip, r"\.")
-    value = p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long")
-    private = F.lit(False)
-    for low, high in _blocks():
-        private = private | value.between(low, high)
-    return ~private
+    return rows.groupBy("host").agg(F.count("*").alias("addresses"), F.bool_and(values.is_global_v4(F.col("ip"))).alias("allowed"))
 
 
 @query(

@@ -69,7 +69,7 @@ FROM pages"""
 CRAWL_RUNS = f"""
 SELECT concat('run_', CAST(p_partkey % 44 AS VARCHAR(20))) AS crawl_run_id, concat('site_', CAST(min(p_partkey) % 5 AS VARCHAR(20))) AS site_id,
   CASE min(p_partkey) % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'CRAWLING_AND_PARSING' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'FAILED' ELSE 'PENDING' END AS status
-FROM part WHERE p_partkey <= 440 GROUP BY concat('run_', CAST(p_partkey % 44 AS VARCHAR(20)))"""
+FROM part GROUP BY concat('run_', CAST(p_partkey % 44 AS VARCHAR(20)))"""
 
 PAGE_VERSIONS = """
 SELECT event_id, concat('site_', CAST(user_id % 10 AS VARCHAR(20))) AS site_id, CAST(user_id AS VARCHAR(20)) AS url, ts AS crawled_at, event_id % 4 AS run_no, event_type AS body FROM events"""
