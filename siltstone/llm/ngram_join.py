@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import small_batches
 from siltstone.llm.components import connected
 from siltstone.llm.merging import merge, short
 from siltstone.llm.shingles import shingle_sets
@@ -270,6 +271,7 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text), class_id (the smallest id of
     its class), body (hash of the text) and group_id (the component, told apart where smallest ids are equal)."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("body"))
     scanned = written(base.mapInArrow(_profiles, PROFILE), "profiles")
     heavy = spark.sparkContext.broadcast(frequent_tokens(scanned))

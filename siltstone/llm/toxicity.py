@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import small_batches
 from siltstone.llm.folds import fold, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -166,6 +167,7 @@ def _logistic(found: list, y: np.ndarray, ratios: np.ndarray, penalty: float, ro
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with a column `score` (replaced if there is one): how likely the text is toxic."""
+    small_batches(docs.sparkSession)
     plain = docs.drop("score")
     held = plain.sparkSession.sparkContext.broadcast(model)
 
