@@ -22,12 +22,14 @@ PICKS = 3
 #: Rounds go on, up to MOST_ROUNDS, while at least one of SLOW comparisons makes a link.
 MOST_ROUNDS, SLOW = 6, 20
 #: Lists up to this size are broadcast; longer ones are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 40 << 20
+#: What a row of a broadcast takes at least, with its place in the hash table.
+HASHED_BYTES = 100
 
 
 def short(df: DataFrame, row_bytes: int) -> DataFrame:
     """`df`, to be broadcast if its rows are counted and few; it must be cheap to count."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * max(row_bytes, HASHED_BYTES) <= BROADCAST_BYTES else df
 
 
 def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike: str = "true") -> tuple[DataFrame, DataFrame]:

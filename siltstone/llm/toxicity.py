@@ -30,6 +30,8 @@ from siltstone.llm.folds import fold, sampled
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 4, 6
 CACHE_WORDS = 100_000
+#: Texts whose n-grams a task counts at once.
+COUNT_TEXTS = 100
 
 
 @dataclass
@@ -77,20 +79,19 @@ def grams_of(word: str) -> list[str]:
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many clean and toxic texts each n-gram is."""
+    """In how many clean and toxic texts each n-gram is, for a few texts at a time."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        own: dict[str, set[str]] = {}
-        for text, label in zip(batch["text"], batch["toxic"]):
-            found: set[str] = set()
-            for word in set(WORD.findall(text.lower())):
-                if word not in own:
-                    own[word] = set(grams_of(word))
-                found |= own[word]
-            counts[int(label)].update(found)
-        grams = list(counts[0].keys() | counts[1].keys())
-        if grams:  # Arrow makes no record of a frame without rows
-            yield pd.DataFrame({"gram": grams, "clean": [counts[0][g] for g in grams], "toxic": [counts[1][g] for g in grams]})
+        for at in range(0, len(batch), COUNT_TEXTS):
+            part = batch.iloc[at : at + COUNT_TEXTS]
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(part["text"], part["toxic"]):
+                found: set[str] = set()
+                for word in set(WORD.findall(text.lower())):
+                    found.update(grams_of(word))
+                counts[int(label)].update(found)
+            grams = list(counts[0].keys() | counts[1].keys())
+            if grams:  # Arrow makes no record of a frame without rows
+                yield pd.DataFrame({"gram": grams, "clean": [counts[0][g] for g in grams], "toxic": [counts[1][g] for g in grams]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = 2500, max_features: int = 4000, min_texts: int = 3, min_z: float = 4.5, min_ratio: float = 0.7, penalty: float = 1e-3) -> Model:
