@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import trim
+
 BLOCK_BYTES = 8 << 20
 #: Most partitions of a shuffle; beyond it a partition holds several blocks, one at a time.
 MOST_PARTITIONS = 20_000
@@ -143,6 +145,9 @@ def _words_of(splitter: Splitter, parts: int):
             numbers.append(number)
             own.append(word)
         rows = [(k, part["block"].iloc[0], _squeeze(numbers), _squeeze(own)) for k, (numbers, own) in dealt.items()]
+        dealt.clear()
+        found.clear()
+        trim()
         return pd.DataFrame(rows, columns=["part", "block", "numbers", "words"])
 
     return words
@@ -187,6 +192,8 @@ def _encode_words(tokenizer_json):
                 ids = [table[w] for w in words]
                 counts = np.array([len(i) // 4 for i in ids], np.int32)
                 yield pd.DataFrame({"block": [block], "numbers": [numbers], "counts": [zstandard.compress(counts.tobytes(), 3)], "ids": [zstandard.compress(b"".join(ids), 3)]})
+        table.clear()
+        trim()
 
     return encode
 
@@ -224,6 +231,8 @@ def _place(splitter: Splitter):
             ends = np.cumsum(n)
             index = np.repeat(start_of[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
             out.append(flat[index])
+        del places, at_of, flat
+        trim()
         return pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "ids": out})
 
     return place
@@ -253,9 +262,11 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(f.read()))
 
     @F.pandas_udf("string")
-    def joined(column: pd.Series) -> pd.Series:
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         piece = pieces.value.__getitem__
-        return pd.Series([b"".join(map(piece, ids.tolist())).decode("utf-8", "replace") for ids in column])
+        for column in batches:
+            yield pd.Series([b"".join(map(piece, ids.tolist())).decode("utf-8", "replace") for ids in column])
+        trim()
 
     return encoded.select("doc_id", "ids", joined("ids").alias("decoded"))
 

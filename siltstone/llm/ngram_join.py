@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import small_batches
+from siltstone.llm.batches import small_batches, trim
 from siltstone.llm.components import connected
 from siltstone.llm.merging import merge, short
 from siltstone.llm.shingles import shingle_sets
@@ -94,6 +94,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
         yield rows(len(sizes), id=batch.column("id"), body=batch.column("body"), size=pa.array(sizes, pa.int32()), node=pa.array(names, pa.int64()))
     yield repeats()
+    held.clear()
+    trim()
 
 
 def frequent_tokens(profiles: DataFrame) -> np.ndarray:
@@ -150,6 +152,8 @@ def _entries(heavy):
                     yield told()
                     names, heads, sizes, rare, rows = [], [], [], [], 0
         yield told()
+        names, heads, sizes, rare = [], [], [], []
+        trim()
 
     return entries
 
@@ -167,6 +171,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _listed(held, schema)
                 held, size = [], 0
         yield _listed(held, schema)
+    trim()
 
 
 def _listed(held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:

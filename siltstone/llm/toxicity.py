@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import small_batches
+from siltstone.llm.batches import small_batches, trim
 from siltstone.llm.folds import fold, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -92,6 +92,7 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams = list(counts[0].keys() | counts[1].keys())
             if grams:  # Arrow makes no record of a frame without rows
                 yield pd.DataFrame({"gram": grams, "clean": [counts[0][g] for g in grams], "toxic": [counts[1][g] for g in grams]})
+    trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, max_rows: int = 2500, max_features: int = 4000, min_texts: int = 3, min_z: float = 4.5, min_ratio: float = 0.7, penalty: float = 1e-3) -> Model:
@@ -173,8 +174,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = plain.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([held.value.score(t) for t in texts], dtype="float64")
+        held.value._cache.clear()
+        trim()
 
     return plain.withColumn("score", score(F.col("text")))
 
