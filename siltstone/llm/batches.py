@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -23,6 +22,6 @@ def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
 def trim() -> None:
     """Give freed memory back to the system: workers wait for the next task, and stages beside them need it."""
     pa.default_memory_pool().release_unused()
-    free = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free is not None:  # other C libraries have no such call
         free(0)
