@@ -37,7 +37,8 @@ def merge(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], alike:
 
     `entries` has key, node, `least` (so many buckets must agree on a pair before it is compared in a
     round), `score` (nodes of high score are compared first; both only change cost) and maybe `size` and
-XX
+    `at`, which `alike`, an SQL condition, may name, also as `other.size` and `other.at`. `compare` returns
+    the rows of its argument (x, y, cx, cy) that are linked.
     """
     extra = [c for c in entries.columns if c not in ("key", "node")]
     active = entries.withColumn("component", F.col("node"))
