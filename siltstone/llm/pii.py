@@ -7,10 +7,14 @@ ones (iban, local phone numbers) need a checksum or a context word, and never ov
 
 A null text is empty and has no span; repeated rows each get their row; other columns are ignored.
 Patterns are possessive or anchored at the start of a run, so long runs cost linear time and no stack.
+Offsets are running sums by runs, overlaps are found by halving and context is read from blocks, so a
+text of very many matches costs little more a match than a short one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone", "iban", "local")
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local": 0.3}
 CONTEXT_BONUS, ACCEPT = 0.2, 0.5
 CONTEXT_CHARS = 40
+#: Characters of the blocks from which context is read.
+BLOCK = 256
 CONTEXT = {
     "email": r"mail|contact|correo|courriel",
     "ip": r"\bip\b|host|server|address",
@@ -81,22 +87,64 @@ def _confirmed(kind: str, match: Column) -> Column:
 SPAN = "array<struct<start:int,rank:int,end:int,match:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(sizes: Column) -> Column:
+    """Running sums of an array; each step copies the sums so far, so only for short arrays."""
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, size: Column) -> Column:
+        return F.struct((state["total"] + size).alias("total"), F.concat(state["out"], F.array(state["total"] + size)).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda state: state["out"])
+
+
+def _running(sizes: Column) -> Column:
+    """Running sums of an array that is not empty, by runs of about the square root of its length."""
+
+    def by_runs(sizes: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int")), lambda k: _sums(F.slice(sizes, k * width + 1, width)))
+        return _let(runs, after_runs)
+
+    def after_runs(runs: Column) -> Column:
+        before = _sums(F.transform(runs, lambda run: F.element_at(run, -1)))
+        return _let(before, lambda sums: F.flatten(F.transform(runs, lambda run, k: _let(F.coalesce(F.get(sums, k - 1), F.lit(0)), lambda base: F.transform(run, lambda x: x + base)))))
+
+    return _let(sizes, by_runs)
+
+
 def _spans(text: Column, kind: str, pattern: str, matches: str) -> Column:
     """Confirmed matches as (start, rank of kind, end, match), from the matches and the pieces between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+    ends = _running(F.zip_with(matches, pieces, lambda match, piece: F.length(match) + F.length(piece)))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["p"])
-        end = begin + F.length(pair[matches])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), pair[matches].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def span(match: Column, end: Column) -> Column:
+        return F.struct((end - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), match.alias("match"))
 
-    pairs = F.arrays_zip(F.col(matches), F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("p"))
-    found = F.aggregate(pairs, start, step, lambda state: state["out"])
-    kept = F.filter(found, lambda span: _confirmed(kind, span["match"]))
+    kept = F.filter(F.zip_with(matches, ends, span), lambda s: _confirmed(kind, s["match"]))
     return F.when(F.size(matches) > 0, kept).otherwise(F.array().cast(SPAN))
 
 
+def _meets(kind: str, span: Column) -> Column:
+    """True if a span shares a character with one of a kind, whose spans are in order and apart: the first
+    that ends behind the span's start is found by halving."""
+    half = lambda s: F.shiftright(s["low"] + s["high"], 1)
+    start = F.struct(F.lit(0).alias("low"), F.size(kind).alias("high"))
+
+    def step(state: Column, _: Column) -> Column:
+        behind = F.get(F.col(kind), half(state))["end"] > span["start"]
+        low = F.when(behind | (state["low"] >= state["high"]), state["low"]).otherwise(half(state) + 1)
+        return F.struct(low.alias("low"), F.when(behind, half(state)).otherwise(state["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(kind) + 1)).cast("int"))
+    first = F.aggregate(steps, start, step, lambda state: state["low"])
+    return F.when(F.size(kind) > 0, F.coalesce(F.get(F.col(kind), first)["start"] < span["end"], F.lit(False))).otherwise(F.lit(False))
+
+
 def _told(spans: Column) -> Column:
     """`kind:start:end` of sorted spans, joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
@@ -121,12 +169,21 @@ def find_pii(docs: DataFrame) -> DataFrame:
     # array_sort orders by start, then by the rank of the kind, then by end.
     rows = rows.withColumn("base", F.array_sort(F.concat("email", "ip", "card", "phone")))
 
+    # Context is read from blocks of the text, as a place in a long text is found from its start only.
+    any_span = F.size("base") + F.size("iban") + F.size("local") > 0
+    rows = rows.withColumn("blocks", F.when(any_span, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
     def free(span: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+        return ~(_meets("email", span) | _meets("ip", span) | _meets("card", span) | _meets("phone", span))
 
     def score(span: Column) -> Column:
         begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, span["end"] - begin + CONTEXT_CHARS))
+        first, last = F.floor(begin / BLOCK).cast("int"), F.floor((span["end"] + CONTEXT_CHARS) / BLOCK).cast("int")
+        around = F.array_join(F.slice("blocks", first + 1, last - first + 1), "")
+        near = F.lower(F.substring(around, begin - first * BLOCK + 1, span["end"] - begin + CONTEXT_CHARS))
+        return _let(near, lambda near: scored(span, near))
+
+    def scored(span: Column, near: Column) -> Column:
         value = F.lit(0.0)
         for rank, kind in enumerate(KINDS):
             value = F.when(span["rank"] == rank, F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))).otherwise(value)
@@ -134,7 +191,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("added", F.filter(F.array_sort(F.concat("iban", "local")), lambda s: free(s) & (score(s) >= ACCEPT)))
     # A local number inside an account number is part of it.
-    rows = rows.withColumn("added", F.filter("added", lambda s: (s["rank"] == KINDS.index("iban")) | ~F.exists("iban", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    rows = rows.withColumn("added", F.filter("added", lambda s: (s["rank"] == KINDS.index("iban")) | ~_meets("iban", s)))
     return rows.withColumn("scores", F.transform(F.concat("base", "added"), score))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from siltstone.llm import pii
 
@@ -68,6 +69,17 @@ def test_added_spans_need_checksum_or_context(spark):
     assert got[15] == "iban:5:32"
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "𝄞 call +1 (555) 123-4567 a.b@c.de, 10.0.0.1 tel 555-123-4567; " * 25000
+    began = time.monotonic()
+    row = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.monotonic() - began < 60
+    want = brute_base(text)
+    assert (row.n_email, row.n_ip, row.n_phone) == (25000, 25000, 25000)
+    assert row.base_sha256 == hashlib.sha256(told(want).encode()).hexdigest()
+    assert row.spans.count("local:") == 25000
+
+
 def test_on_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
