@@ -4,7 +4,9 @@ A logistic classifier over surface features of the whole text gives each documen
 evidence. Every document's probability (its label, where one may be learned from) counts towards its
 host and its path within the host. Site rates are shrunk: paths towards their host, hosts towards
 the global rate, with strengths estimated from the data by moments (grouped sums over all
-documents). The site's posterior odds, relative to the global odds, then shift the document's.
+documents). The posterior odds of the site's other documents, relative to the global odds, then shift
+the document's. `host` and `path` name columns; `documents` has no URL, so its source and language
+stand for them.
 
 The classifier is fitted on at most about `max_rows` labelled texts, by hash. Site sums are
 aggregated before they are joined back, so a host with a third of all rows is one row a task.
@@ -134,23 +136,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("null")).alias("host"),
         F.coalesce(F.col(path).cast("string"), F.lit("null")).alias("path"), evidence("text").alias("evidence"),
     )
-    sited = written(sited, "quality-evidence")
     known = _known(labels, keep)
-    told = sited.join(known, sited["id"] == known["label_id"], "left")
     weight = F.when(F.col("good").isNull(), F.lit(SOFT_WEIGHT)).otherwise(F.lit(1.0))
     value = F.coalesce(F.col("good").cast("double"), F.col("evidence"))
-    paths = told.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * value).alias("good"))
+    told = sited.join(known, sited["id"] == known["label_id"], "left")
+    told = written(told.select("id", "host", "path", "evidence", weight.alias("own"), (weight * value).alias("own_good")), "quality-evidence")
+    paths = told.groupBy("host", "path").agg(F.sum("own").alias("n"), F.sum("own_good").alias("good"))
     paths = written(paths, "quality-paths")
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "quality-hosts")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = whole["good"] / whole["n"] if whole["n"] else 0.5
-    strength = _strength(hosts, F.lit(rate))
-    hosts = hosts.select("host", ((F.col("good") + strength * rate) / (F.col("n") + strength)).alias("host_rate"))
+    host_strength = _strength(hosts, F.lit(rate))
+
+    def shrunk(good: Column, n: Column, towards: Column, strength: float) -> Column:
+        return (good + strength * towards) / (n + strength)
+
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), shrunk(F.col("good"), F.col("n"), F.lit(rate), host_strength).alias("host_rate"))
     paths = written(paths.join(hosts, "host"), "quality-sites")
-    strength = _strength(paths, F.col("host_rate"))
-    paths = paths.select("host", "path", "host_rate", ((F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"))
-    out = sited.join(paths, ["host", "path"])
-    z = _logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.lit(rate))
+    path_strength = _strength(paths, F.col("host_rate"))
+    paths = paths.withColumn("path_rate", shrunk(F.col("good"), F.col("n"), F.col("host_rate"), path_strength))
+    out = told.join(paths, ["host", "path"])
+    # What a document itself adds to its site is taken out again before the site shifts it.
+    others = shrunk(F.col("host_good") - F.col("own_good"), F.col("host_n") - F.col("own"), F.lit(rate), host_strength)
+    others = shrunk(F.col("good") - F.col("own_good"), F.col("n") - F.col("own"), others, path_strength)
+    z = _logit(F.col("evidence")) + _logit(others) - _logit(F.lit(rate))
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "evidence", "host_rate", "path_rate", "score", (F.col("score") >= KEEP_FROM).cast("int").alias("keep"))
 

@@ -150,3 +150,41 @@ def test_sparse_sites_shrink_towards_their_host(spark):
     assert got[201].path_rate > 0.5
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
     assert {round(r.evidence, 3) for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def brute_strength(sites, rates):
+    """Pseudo-counts by moments of [(n, good)] around `rates`."""
+    w, k = sum(n for n, _ in sites), len(sites)
+    if k < 2:
+        return 100.0
+    within = sum(n * r * (1 - r) for (n, _), r in zip(sites, rates)) / w
+    spread = sum(n * (g / n - r) ** 2 for (n, g), r in zip(sites, rates))
+    between = (spread - (k - 1) * within) / max(w - sum(n * n for n, _ in sites) / w, 1e-9)
+    return min(1e6, max(1.0, within / max(between, 1e-9) - 1))
+
+
+def test_quality_leaves_a_document_out_of_its_own_site(spark):
+    rng = random.Random(5)
+    rows = [(d, "word " * rng.randint(1, 30), f"h{d % 4}", rng.choice("abc")) for d in range(120)]
+    marks = {d: int(rng.random() < (0.9 if d % 4 else 0.2)) for d in range(0, 120, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS evidence", "'x' AS own")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    own = {d: (1.0, float(marks[d])) if d in marks else (0.25, 0.25 * got[d].evidence) for d, *_ in rows}
+    hosts, paths = {}, {}
+    for d, _, host, path in rows:
+        for sums, key in ((hosts, host), (paths, (host, path))):
+            n, good = sums.get(key, (0.0, 0.0))
+            sums[key] = (n + own[d][0], good + own[d][1])
+    rate = sum(g for _, g in hosts.values()) / sum(n for n, _ in hosts.values())
+    s_host = brute_strength(list(hosts.values()), [rate] * len(hosts))
+    host_rate = {h: (g + s_host * rate) / (n + s_host) for h, (n, g) in hosts.items()}
+    s_path = brute_strength(list(paths.values()), [host_rate[h] for h, _ in paths])
+    logit = lambda p: np.log(p / (1 - p))
+    for d, _, host, path in rows:
+        n, good = own[d]
+        others = (hosts[host][1] - good + s_host * rate) / (hosts[host][0] - n + s_host)
+        others = (paths[host, path][1] - good + s_path * others) / (paths[host, path][0] - n + s_path)
+        z = logit(got[d].evidence) + logit(others) - logit(rate)
+        assert abs(got[d].score - 1 / (1 + np.exp(-z))) < 1e-6
+        assert abs(got[d].host_rate - host_rate[host]) < 1e-9
