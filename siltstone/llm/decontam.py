@@ -17,14 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.merging import BROADCAST_BYTES, HASHED_BYTES, short
+from siltstone.scratch import written
+
 #: 1: the word is hashed; 0: it is ignored. Five words are picked by each mask.
 MASKS = ("11111", "110111", "1101011", "10110011")
 WINDOW = 20
 SHARE_5TH = 4
-#: A benchmark with more seeds than this is joined by shuffle instead of being sent to every task.
-BROADCAST_SEEDS = 2_000_000
-#: So many aligned documents are sent to the scan of texts; more are joined by shuffle.
-BROADCAST_DOCS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -54,6 +53,12 @@ def _seeded(rows: DataFrame, keys: list[str]) -> DataFrame:
     return seeds.select(*keys, F.expr(f"k div {len(MASKS)}").cast("int").alias("at"), "seed")
 
 
+def _sent(table: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`table`, to be broadcast if the bytes of its rows (`size` of `sizes`) are few."""
+    told = sizes.agg(F.sum(F.col("size").cast("long")), F.count("*")).first()
+    return F.broadcast(table) if (told[0] or 0) + HASHED_BYTES * told[1] <= BROADCAST_BYTES else table
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds a passage of: doc_id, item_id, the best stretch
     (`start` in words of the document, `words`) and how many of its words agree (`same`)."""
@@ -64,19 +69,14 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`contaminations` with `body`, the hash of the document's text."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
-    seeds = _seeded(items, ["item"]).withColumnRenamed("at", "item_at").distinct()
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    seeds = short(_seeded(items, ["item"]).withColumnRenamed("at", "item_at").distinct(), 32)
     base = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("body", F.xxhash64("text"))
     hits = _seeded(base, ["doc_id", "body"]).join(seeds, "seed")
     aligned = hits.select("doc_id", "body", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     known = items.select("item", "item_id", words_of(F.col("text")).alias("item_words"))
     aligned = aligned.groupBy(F.col("doc_id").alias("hit_id"), F.col("body").alias("hit_body")).agg(F.collect_list(F.struct("item", "shift")).alias("found"))
-    aligned = aligned.persist()
-    if aligned.count() <= BROADCAST_DOCS:
-        near = F.broadcast(aligned)
-    else:
-        near = aligned
+    aligned = written(aligned, "leak-aligned")
+    near = _sent(aligned, aligned.select((32 * F.size("found")).alias("size")))
     on = base["doc_id"].eqNullSafe(near["hit_id"]) & (base["body"] == near["hit_body"])
     rows = base.join(near, on).select("doc_id", "body", words_of(F.col("text")).alias("words"), "found").dropDuplicates(["doc_id", "body"])
     # What an alignment can cover is cut out before the alignments become rows; the longest item bounds it.
@@ -87,8 +87,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.struct(pair["item"].alias("item"), pair["shift"].alias("shift"), begin.alias("begin"), F.slice("words", begin + 1, F.lit(longest)).alias("part"))
 
     rows = rows.select("doc_id", "body", F.explode(F.transform("found", cut)).alias("f")).select("doc_id", "body", "f.*")
-    few = known.count() <= 20_000
-    rows = rows.join(F.broadcast(known) if few else known, "item")
+    # A word in an array takes its bytes and, with its place, up to 16 more.
+    rows = rows.join(_sent(known, items.select((9 * F.octet_length("text")).alias("size"))), "item")
     length = F.least(F.size("part"), F.size("item_words") - F.greatest(-F.col("shift"), F.lit(0)))
     rows = rows.withColumn("own", F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.greatest(length, F.lit(0))))
     same = F.zip_with(F.slice("part", 1, F.size("own")), "own", lambda a, b: F.when(a == b, F.lit(1)).otherwise(F.lit(0)))
