@@ -7,11 +7,11 @@ rows that they keep.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontam, line_dedup, ngram_join, toxicity
-from siltstone.llm.queries import TOKENIZERS
 from siltstone.scratch import written
 from siltstone.tables import table
 
@@ -53,7 +53,7 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and the decoded text of every document."""
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.decode(bpe.encode(docs, path), path)
 
 
