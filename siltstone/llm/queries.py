@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe, chat, decontam, langid, line_dedup, media, ngram_join, pii, quality, toxicity
 from siltstone.tables import table
 
-#: Where the public tokenizers lie; a parameter of the operators that read one.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_query(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return langid.language_query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

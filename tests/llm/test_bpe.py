@@ -4,11 +4,12 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import public_tokenizers
 from tokenizers import Tokenizer
 
 from siltstone.llm import bpe
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")

@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, quality, toxicity
 
-VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
+VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def segmentations(s, pieces, unknown):

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -55,7 +56,7 @@ def test_stages_equal_brute_force(spark, folder):
             assert set(after) == {root for _, root in brute_components(list(texts.items())).values()}
         else:
             assert set(after) == set(texts) - {d for d, _ in leaked(list(texts.items()), items)}
-    library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(out) == set(texts)
