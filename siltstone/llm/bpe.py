@@ -35,6 +35,8 @@ BLOCK_BYTES = 8 << 20
 MOST_PARTITIONS = 20_000
 #: Distinct words that a task keeps encoded at once.
 TABLE_WORDS = 1_000_000
+#: Documents that are decoded at once.
+DECODED = 200
 #: The pre-tokenizer's pattern, with its white space spelled out (fixed values of the vocabulary's format).
 SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -168,6 +170,25 @@ def _numbers(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(bytes(packed)), np.int32), dtype=np.int64)
 
 
+def separator(tokenizer_json: str) -> str | None:
+    """The special token of a vocabulary that has a single one, if it splits any text where it stands."""
+    added = json.loads(tokenizer_json).get("added_tokens", [])
+    if len(added) != 1 or any(added[0].get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    mark = added[0]["content"]
+    return None if any(mark.startswith(mark[-n:]) for n in range(1, len(mark))) else mark
+
+
+def _ids_of(tokenizer, words: list[str], mark: str | None) -> list[bytes]:
+    """The ids of each word. One long text costs less than many short ones, so words are joined by `mark`."""
+    if mark is not None and not any(mark in w for w in words):
+        ids = np.array(tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == tokenizer.token_to_id(mark)).tolist()
+        if len(cuts) == len(words) - 1:
+            return [ids[a + 1 : b].tobytes() for a, b in zip([-1, *cuts], [*cuts, len(ids)])]
+    return [np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
 def _encode_words(tokenizer_json):
     """Each distinct word of a part is encoded once; ids and their counts go back to every block with it."""
 
@@ -178,6 +199,7 @@ def _encode_words(tokenizer_json):
         tokenizer = Tokenizer.from_str(tokenizer_json.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        mark = separator(tokenizer_json.value)
         table: dict[str, bytes] = {}
         for batch in batches:
             for block, numbers, packed in zip(batch["block"], batch["numbers"], batch["words"]):
@@ -187,8 +209,7 @@ def _encode_words(tokenizer_json):
                     table, new = {}, words
                 for at in range(0, len(new), 5000):
                     some = new[at : at + 5000]
-                    for word, encoding in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                        table[word] = np.array(encoding.ids, np.int32).tobytes()
+                    table.update(zip(some, _ids_of(tokenizer, some, mark)))
                 ids = [table[w] for w in words]
                 counts = np.array([len(i) // 4 for i in ids], np.int32)
                 yield pd.DataFrame({"block": [block], "numbers": [numbers], "counts": [zstandard.compress(counts.tobytes(), 3)], "ids": [zstandard.compress(b"".join(ids), 3)]})
@@ -256,16 +277,25 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(_place(splitter), "doc_id long, ids array<int>")
 
 
+def _texts(ids: pa.ListArray, table: pa.Array) -> list[str]:
+    """The texts of lists of ids: all their pieces are taken at once and lie in one buffer."""
+    found = table.take(ids.flatten())
+    at = ids.offsets.to_numpy()
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[at - at[0]].tolist()
+    data = (found.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """`encoded` (doc_id, ids) with `decoded`, the text of the ids' pieces."""
     with open(tokenizer_path, encoding="utf-8") as f:
         pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(f.read()))
 
-    @F.pandas_udf("string")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = pieces.value.__getitem__
+    @F.arrow_udf("string")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.array(pieces.value, pa.large_binary())
         for column in batches:
-            yield pd.Series([b"".join(map(piece, ids.tolist())).decode("utf-8", "replace") for ids in column])
+            yield pa.array([text for at in range(0, len(column), DECODED) for text in _texts(column.slice(at, DECODED), table)], pa.string())
         trim()
 
     return encoded.select("doc_id", "ids", joined("ids").alias("decoded"))

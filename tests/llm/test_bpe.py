@@ -71,3 +71,30 @@ def test_latin_texts_split_alike(library):
     for _ in range(4000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30)))
         assert [i for w in splitter(text) for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_encoded_in_one_text(library):
+    words = ["a", " b", "<", "<|endoftext|", "|>", "  ", "é", " 日本", "\x00", "'s"] * 50
+    sizes = []
+
+    class Counting:
+        token_to_id = library.token_to_id
+
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    mark = bpe.separator(library.to_str())
+    assert mark == "<|endoftext|>"
+    alone = bpe._ids_of(Counting(), words, None)
+    assert bpe._ids_of(Counting(), words, mark) == alone and sizes == [len(words), 1]
+    own = bpe._ids_of(Counting(), [*words, mark], mark)
+    assert own[:-1] == alone and len(own) == len(words) + 1
+
+
+def test_texts_of_lists(library):
+    table = bpe.pa.array(bpe.piece_table(library.to_str()), bpe.pa.large_binary())
+    texts = ["", "one two", "", "日本 é", "<|endoftext|>", ""]
+    lists = bpe.pa.array([library.encode(t).ids for t in texts], bpe.pa.list_(bpe.pa.int32()))
+    assert bpe._texts(lists, table) == texts and bpe._texts(lists.slice(3, 2), table) == texts[3:5]
+    assert bpe._texts(lists.slice(0, 1), table) == [""] and bpe._texts(lists.slice(0, 0), table) == []
