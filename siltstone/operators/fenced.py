@@ -7,8 +7,6 @@ raise, count or ignore. Requests of one key are taken to be one (reduce them fir
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +17,24 @@ ACTIVE_RUN = (ledger.PENDING, ledger.WORKING)
 CONFLICT = "ConditionNotMet"
 
 
-def guarded(snapshot: DataFrame, requests: DataFrame, keys: list[str], guard: Callable[[], Column], changes: dict[str, Column]) -> DataFrame:
-    """One row per request: key, `error` (null or CONFLICT) and the row's values after it.
+Write = tuple[Column, dict[str, Column]]
+
+
+def outcome(guard: Column, changes: dict[str, Column]) -> dict[str, Column]:
+    """`error` (null or CONFLICT) and the new values, where a row holds both a page's state and what is asked of it.
+
+    `changes` tells new values: a null removes, `count_of(x) + n` adds; a refused write leaves what was there.
+    """
+    ok = F.coalesce(guard, F.lit(False))
+    return {"error": F.when(~ok, F.lit(CONFLICT)), **{c: F.when(ok, v).otherwise(F.col(c)) for c, v in changes.items()}}
+
+
+def guarded(snapshot: DataFrame, requests: DataFrame, keys: list[str], guard: Column, changes: dict[str, Column]) -> DataFrame:
+    """One row per request: key, `error` and the row's values after it (see `outcome`).
 
-    `changes` tells new values: a null removes, `count_of(x) + n` adds. Columns of requests must not
-    clash with the snapshot's but for the keys.
+    Keys name one row of the snapshot each. Columns of requests must not clash with the snapshot's but for the keys.
     """
-    met = requests.join(snapshot, keys, "left")
-    ok = F.coalesce(guard(), F.lit(False))
-    out = met.withColumn("error", F.when(~ok, F.lit(CONFLICT)))
-    values = {c: F.when(F.col("error").isNull(), v).otherwise(F.col(c)) for c, v in changes.items()}
-    return out.select(*keys, "error", *[v.alias(c) for c, v in values.items()])
+    return requests.join(snapshot, keys, "left").select(*keys, *[v.alias(c) for c, v in outcome(guard, changes).items()])
 
 
 def deleted(snapshot: DataFrame, requests: DataFrame, keys: list[str], guard: Column) -> DataFrame:
@@ -46,34 +51,49 @@ def applied(snapshot: DataFrame, writes: DataFrame, keys: list[str]) -> DataFram
     return out.select(*[F.when(F.col("written_"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in snapshot.columns])
 
 
-def save_result(pages: DataFrame, requests: DataFrame, keys: list[str], now: str, fields: list[str]) -> DataFrame:
+def saving(now: str, fields: list[str]) -> Write:
     """Checkpoint attributes (`new_<field>` of requests) while the requesting worker (`token`) owns the page."""
-    return guarded(pages, requests, keys, lambda: ledger.owned(F.col("token"), now), {f: F.col(f"new_{f}") for f in fields})
+    return ledger.owned(F.col("token"), now), {f: F.col(f"new_{f}") for f in fields}
 
 
-def start_children(pages: DataFrame, requests: DataFrame, keys: list[str], now: str) -> DataFrame:
+def starting_children(now: str) -> Write:
     """Count the first child attempt after parsing: owned, parsed, and an attempt left."""
     left = F.col("parsed_key").isNotNull() & (ledger.count_of("children_attempt_count") < ledger.MAX_CHILDREN_ATTEMPTS)
-    return guarded(pages, requests, keys, lambda: ledger.owned(F.col("token"), now) & left, {"children_attempt_count": ledger.count_of("children_attempt_count") + 1})
+    return ledger.owned(F.col("token"), now) & left, {"children_attempt_count": ledger.count_of("children_attempt_count") + 1}
 
 
-def mark_sent(pages: DataFrame, requests: DataFrame, keys: list[str], dispatch_after: str) -> DataFrame:
+def marking_sent(dispatch_after: str) -> Write:
     """After a send: no dispatch is pending and the next check is later, unless the page moved on
     (`seen_attempts` of the request is no longer its count)."""
     same = (F.col("attempt_count") == F.col("seen_attempts")) & F.col("status").isin(ledger.QUEUED, ledger.WORKING)
-    return guarded(pages, requests, keys, lambda: same, {"dispatch_pending": F.lit(False), "dispatch_after": F.lit(dispatch_after)})
+    return same, {"dispatch_pending": F.lit(False), "dispatch_after": F.lit(dispatch_after)}
+
+
+def save_result(pages: DataFrame, requests: DataFrame, keys: list[str], now: str, fields: list[str]) -> DataFrame:
+    """`saving` for requests that stand apart from the pages."""
+    return guarded(pages, requests, keys, *saving(now, fields))
+
+
+def start_children(pages: DataFrame, requests: DataFrame, keys: list[str], now: str) -> DataFrame:
+    """`starting_children` for requests that stand apart from the pages."""
+    return guarded(pages, requests, keys, *starting_children(now))
+
+
+def mark_sent(pages: DataFrame, requests: DataFrame, keys: list[str], dispatch_after: str) -> DataFrame:
+    """`marking_sent` for requests that stand apart from the pages."""
+    return guarded(pages, requests, keys, *marking_sent(dispatch_after))
 
 
 def acquire_lock(runs: DataFrame, requests: DataFrame, keys: list[str], now: str, expires: str) -> DataFrame:
     """An expiring lock of an active run: free, or held past its end."""
     free = F.col("lock_expires_at").isNull() | (F.col("lock_expires_at") <= now)
-    return guarded(runs, requests, keys, lambda: F.col("status").isin(*ACTIVE_RUN) & free, {"lock_token": F.col("token"), "lock_expires_at": F.lit(expires)})
+    return guarded(runs, requests, keys, F.col("status").isin(*ACTIVE_RUN) & free, {"lock_token": F.col("token"), "lock_expires_at": F.lit(expires)})
 
 
 def release_lock(runs: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """Remove a lock that the requesting token holds."""
     none = F.lit(None).cast("string")
-    return guarded(runs, requests, keys, lambda: F.col("lock_token") == F.col("token"), {"lock_token": none, "lock_expires_at": none})
+    return guarded(runs, requests, keys, F.col("lock_token") == F.col("token"), {"lock_token": none, "lock_expires_at": none})
 
 
 def start_runs(sites: DataFrame, runs: DataFrame, pages: DataFrame, requests: DataFrame, now: str) -> dict[str, DataFrame]:

@@ -2,12 +2,14 @@ import hashlib
 import ipaddress
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone import scratch
 from siltstone.functions import ats, discovery, values
 from siltstone.operators import fenced, frontier
+from siltstone.plans import catalogue
 
 
 def column(spark, texts, make):
@@ -58,6 +60,17 @@ def test_guarded_writes(spark):
     assert {r.crawl_run_id for r in fenced.deleted(runs, asked, ["crawl_run_id"], F.col("status") == "FAILED").collect()} == {"r1", "r2"}
 
 
+def test_pages_of_a_run_that_share_their_url_are_written_apart(spark, tmp_path):
+    pages = [(2, "https://h.example/a"), (42, "https://h.example/a"), (1, None), (41, None), (3, "https://h.example/b")]
+    spark.createDataFrame([(*p, "") for p in pages], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    frame = catalogue.queries()["q42_fenced_writes"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = duck.execute(catalogue.oracle_sql()["q42_fenced_writes"])
+    got = [tuple(r) for r in frame.select(*[d[0] for d in found.description]).collect()]
+    assert sorted(got, key=repr) == sorted(found.fetchall(), key=repr) and len(got) == len(pages)
+
+
 def test_a_run_starts_once(spark):
     asked = spark.createDataFrame([("s", "r", "https://h.example/")], "site_id string, crawl_run_id string, root_url string")
     none = spark.createDataFrame([], "site_id string, crawl_run_id string, canonical_url_hash string, created_at string")
