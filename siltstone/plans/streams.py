@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,40 +66,63 @@ def s05_fetch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.replayed(rows, cap=3000).select("page_id", "fault")
 
 
-PARSED = "page_id long, title string, language string, description string, headings array<struct<level: string, text: string>>, links array<string>, main_content string"
+#: Texts that a worker holds as Python objects at once.
+SLICE_BYTES = 2_000_000
+_TEXT, _TEXTS = ("string", pa.string()), ("array<string>", pa.list_(pa.string()))
+_HEADINGS = ("array<struct<level: string, text: string>>", pa.list_(pa.struct([("level", pa.string()), ("text", pa.string())])))
+#: What the parsers read, as Spark and Arrow name its type.
+PARSED = {"title": _TEXT, "language": _TEXT, "description": _TEXT, "headings": _HEADINGS, "links": _TEXTS, "main_content": _TEXT}
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pa.RecordBatch], texts: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most `most` bytes of the column `texts`, or of one row.
+
+    Spark's batches have up to 10,000 rows; what is made of them in Python is several times their bytes.
+    """
     for batch in batches:
-        found = [documents.parse_html(h) for h in batch["html"]]
-        yield pd.DataFrame({
-            "page_id": batch["page_id"], **{c: [f[c] for f in found] for c in ("title", "language", "description", "headings")},
-            "links": [[a["href"] for a in f["links"]] for f in found], "main_content": [f["main_content"] for f in found],
-        })
+        sizes, start, held = pc.binary_length(batch[texts]).to_pylist(), 0, 0
+        for at, size in enumerate(sizes):
+            if held and held + (size or 0) > most:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size or 0
+        yield batch.slice(start)
+        del batch  # not held while the next one is read
+
+
+def parsed(rows: DataFrame, read: Callable[[str | None], dict], *fields: str) -> DataFrame:
+    """The first column of `rows`, a long, and `fields` of what `read` tells of the second, a text."""
+    key, texts = rows.columns
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, texts):
+            found = [{c: told[c] for c in fields} for told in map(read, part[texts].to_pylist())]
+            yield pa.record_batch([part[key], *[pa.array([f[c] for f in found], PARSED[c][1]) for c in fields]], [key, *fields])
+
+    return rows.mapInArrow(parse, ", ".join([f"{key} long", *[f"{c} {PARSED[c][0]}" for c in fields]]))
+
+
+def _page(markup: str | None) -> dict:
+    found = documents.parse_html(markup)
+    return found | {"links": [a["href"] for a in found["links"]]}
 
 
 @query("u01_html_tree", """SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title,
     regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS language, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS n_headings, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
 def u01_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(_parse, PARSED)
+    out = parsed(table(spark, sf_dir, "pages").select("page_id", "html"), _page, "title", "language", "headings", "links")
     return out.select("page_id", "title", "language", F.size("headings").cast("long").alias("n_headings"), F.size("links").cast("long").alias("n_links"))
 
 
-def _markdown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [documents.parse_markdown(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [f[c] for f in found] for c in ("title", "description", "headings", "links")}})
-
-
 @query("u02_markdown")
 def u02_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Note "), F.col("doc_id").cast("string"), F.lit("\n\n[a](/x"), F.col("doc_id").cast("string"), F.lit(") and <https://e.example/>\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
-    return docs.mapInPandas(_markdown, "doc_id long, title string, description string, headings array<struct<level: string, text: string>>, links array<string>")
+    return parsed(docs, documents.parse_markdown, "title", "description", "headings", "links")
 
 
 @query("u03_main_content")
 def u03_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(_parse, PARSED).select("page_id", "main_content")
+    return parsed(table(spark, sf_dir, "pages").select("page_id", "html"), _page, "main_content")
 
 
 @query("u04_robots", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE c_custkey % 3 <> 0 END AS allowed FROM customer")
