@@ -1,7 +1,7 @@
 """The URL frontier: bounded breadth-first traversal of a link graph, and sitemap walks.
 
-Each level is one join of the frontier with the links and one anti-join with what is known; levels are
-written tables, so lineage stays short. A page counts at its smallest depth.
+Each level reads the links, keeps those of the frontier by a semi-join, and drops what is known by an
+anti-join; levels are written tables, so lineage stays short. A page counts at its smallest depth.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from siltstone.functions import urls
 from siltstone.scratch import written
 
 SITEMAP_DOCUMENTS = 10
+#: Frontiers up to this size are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: What a row of a broadcast takes besides its text, with its place in the hash table.
+HASHED_BYTES = 100
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    """`nodes`, a written table, to be broadcast if its counted bytes are few."""
+    told = nodes.agg(F.count("*"), F.sum(F.octet_length(F.col("node").cast("string")))).first()
+    return F.broadcast(nodes) if told[0] * HASHED_BYTES + (told[1] or 0) <= BROADCAST_BYTES else nodes
 
 
 def traverse(links: DataFrame, roots: DataFrame, max_depth: int, per_page: int | None = None, per_run: int | None = None) -> DataFrame:
@@ -22,13 +32,14 @@ def traverse(links: DataFrame, roots: DataFrame, max_depth: int, per_page: int |
     `per_page` keeps the first distinct links of a page by position; `per_run` bounds all nodes,
     in order of depth, parent and position.
     """
-    links = links.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
-    if per_page is not None:
-        links = links.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy("pos", "dst"))).where(F.col("n") <= per_page).drop("n")
     known = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier, total = known, known.count()
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.struct("src", "pos")).alias("via"))
+        # Only the frontier's links are grouped and ranked: all of them would be shuffled again at each level.
+        own = links.join(_few(frontier).select(F.col("node").alias("src")), "src", "left_semi").groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+        if per_page is not None:
+            own = own.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy("pos", "dst"))).where(F.col("n") <= per_page)
+        step = own.groupBy("dst").agg(F.min(F.struct("src", "pos")).alias("via"))
         new = step.select(F.col("dst").alias("node"), "via").join(known, "node", "left_anti")
         if per_run is not None:
             new = new.orderBy("via", "node").limit(max(0, per_run - total))

@@ -50,6 +50,31 @@ def test_frontier_bounds(spark):
     assert walk(max_depth=9, per_run=3) == {"a": 0, "b": 1, "c": 1}
 
 
+def test_only_links_of_the_frontier_are_grouped(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{i * 2 + k}", 5 - k) for i in range(1, 40) for k in range(4)] + [("n1", "n2", 9), (None, "n3", 1), ("n1", None, 0)]
+    links, roots = spark.createDataFrame(rows, "src string, dst string, pos int"), spark.createDataFrame([("n1",), ("x",)], "node string")
+    plans, write = [], frontier.written
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(frontier, "written", noted)
+    found = []
+    for most in (frontier.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(frontier, "BROADCAST_BYTES", most)
+        found.append(sorted(frontier.traverse(links, roots, 3, per_page=2).collect(), key=repr))
+    levels = [p for p in plans if "Window" in p]
+    assert levels and all("LeftSemi" in p[p.index("Aggregate [src"):] for p in levels)
+    kept, walk, edge = {}, {"n1": 0, "x": 0}, {"n1", "x"}
+    for src, dst, pos in sorted({(s, d, min(r[2] for r in rows if r[:2] == (s, d))) for s, d, _ in rows if s}, key=lambda r: (r[2], r[1] or "")):
+        kept.setdefault(src, []).append(dst)
+    for depth in (1, 2, 3):
+        edge = {d for s in edge for d in kept.get(s, [])[:2]} - set(walk)
+        walk |= dict.fromkeys(edge, depth)
+    assert found[0] == found[1] == sorted(walk.items(), key=repr)
+
+
 def test_payload_faults(spark):
     rows = [("lever", "1", '{"id":"1","text":"t","description":"","descriptionPlain":"p","categories":{"location":"x"}}'), ("lever", "2", '{"id":"1"}'), ("ashby", "1", "[]"), ("greenhouse", "7", '{"id":7,"title":" ","content":"c"}'), ("greenhouse", "7", None)]
     frame = spark.createDataFrame(rows, "provider string, job_id string, payload string")
